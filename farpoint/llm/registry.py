@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import mixing, packing, secrets, token_counts
+from farpoint.llm import jaccard_join, language_id, mixing, packing, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +25,25 @@ def op1_secrets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.join(table(spark, d, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, d, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op6_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -39,7 +54,8 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_secrets": op1_secrets, "op4_token_counts": op4_token_counts, "op6_packing": op6_packing, "op10_mixing": op10_mixing,
+        "op1_secrets": op1_secrets, "op2_jaccard_join": op2_jaccard_join, "op4_token_counts": op4_token_counts,
+        "op5_toxicity": op5_toxicity, "op7_language_id": op7_language_id, "op6_packing": op6_packing, "op10_mixing": op10_mixing,
     }
 
 

@@ -105,7 +105,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int =
 
 
 def _fit(share: float):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["size"] > 0].sort_values("size", kind="stable")
         if not len(pdf):
             return pd.DataFrame({"s_key": [], "size": [], "n": [], "copies": [], "extra": []})

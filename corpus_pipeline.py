@@ -46,9 +46,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents that it leaves out go."""
-    mixed = mixing.mix(docs, keep=docs.columns)
+    own = {c: f"c{i}_" for i, c in enumerate(docs.columns)}  # whatever the columns are called
+    mixed = mixing.mix(docs.withColumnsRenamed(own), own["doc_id"], own["text"], own["source"], keep=list(own.values()))
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(docs.columns)
+    copies = mixed.withColumn("copy_", F.explode(F.array_repeat(F.lit(0), times)))
+    return copies.select([F.col(n).alias(c) for c, n in own.items()])
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

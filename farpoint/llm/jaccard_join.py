@@ -2,15 +2,18 @@
 
 1. Every text becomes its set of distinct hashed shingles; equal sets become one representative,
    so copies are never paired.
-2. Prefix filter: if two sets of n and m tokens are similar enough, the n - ceil(t n) + 1 first
-   tokens of either, in any order common to all, share one. The order puts the ``hot`` most
-   repeated tokens last. Representatives that follow each other under a token are chained, and
-   the components of the chains, families, hold every possible link.
-3. Families are dealt into blocks of bounded size. In each block a signature tree is built: leaves
+2. A set can only have a partner if as large a share of its tokens also occurs elsewhere. Tokens
+   are dealt by hash into ranges, as packed arrays, to find those of two or more documents; sets
+   with too few of them are done.
+3. Prefix filter among the rest: if two sets of n and m tokens are similar enough, the
+   n - ceil(t n) + 1 first tokens of either, in any order common to all, share one. The order is by
+   document frequency, rarest first. Representatives that follow each other under a token are
+   chained, and the components of the chains, families, hold every possible link.
+4. Families are dealt into blocks of bounded size. In each block a signature tree is built: leaves
    of similar sets, nodes with OR-combined token bitmaps and size ranges. Dual traversal drops pairs of
    nodes whose greatest possible overlap is too small; pairs already connected are skipped; the
    rest are counted exactly.
-4. Only blocks of one family that are not yet connected are paired with each other, in the same
+5. Only blocks of one family that are not yet connected are paired with each other, in the same
    way. Links between different sets are never lost: bounds are exact and nothing is capped.
 
 Cases: null or blank texts have no shingles and link with nothing; fewer words than a shingle
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 from farpoint.llm.common import checkpoint, flat_words, pick, ship, slices, texts_of
 from farpoint.llm.graph import components
 
-#: Repeated tokens that are ordered last; 16 bytes each on the driver and in each task.
-HOT = 65_536
+#: Tokens of a range, about.
+RANGE_TOKENS = 1_000_000
 #: Sets in a block.
 BLOCK = 512
 #: Rows up to which a table of ids is broadcast; beyond, it is joined by shuffle.
@@ -222,64 +225,87 @@ def _links_between(percent: int):
     return run
 
 
-def hot_tokens(docs: DataFrame, width: int, hot: int, least: int = 3) -> np.ndarray:
-    """The ``hot`` tokens most often repeated within batches, most repeated first; only their order matters."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated_counts(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, c): how many of a document's tokens occur in another document too; none missing means 0.
+
+    Tokens repeated within a batch are counted there and sent once, so a very common token costs
+    its range one entry a batch. Ranges compare 32 more bits of the hash; tokens that agree in
+    those only add to c, which may be too large but never too small.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(20, max(4, math.ceil(math.log2(chars / 6 / RANGE_TOKENS + 1))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seq = TaskContext.get().partitionId() << 20
         for batch in batches:
-            sets = [s for part in slices(batch) for s in shingle_sets(texts_of(part), width)]
-            token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
-
-    table = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = table.orderBy(F.desc("n"), "token").limit(hot).collect()
-    return np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
-
-
-def prefix_of(tokens: np.ndarray, hot_sorted: np.ndarray, hot_rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 tokens: ordinary ones by hash, then hot ones from the least hot."""
-    n = len(tokens)
-    p = n - -(-percent * n // 100) + 1
-    if not len(hot_sorted):
-        return tokens[:p]
-    at = np.searchsorted(hot_sorted, tokens)
-    at[at == len(hot_sorted)] = 0
-    is_hot = hot_sorted[at] == tokens
-    cold = tokens[~is_hot]
-    if len(cold) >= p:
-        return cold[:p]
-    warm = tokens[is_hot][np.argsort(-hot_rank[at[is_hot]], kind="stable")]
-    return np.concatenate([cold, warm[: p - len(cold)]])
-
-
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+            ids, sets = [], []
+            for part in slices(batch):
+                ids += part.column("doc_id").to_pylist()
+                sets += shingle_sets(texts_of(part), width)
+            if not sum(map(len, sets)):
+                continue
+            doc = np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in sets])
+            token = np.concatenate(sets)
+            order = np.argsort(token, kind="stable")
+            token, doc = token[order], doc[order]
+            same = token[1:] == token[:-1]
+            again = np.append(False, same) | np.append(same, False)
+            first = np.append(True, ~same)
+            own, n = np.unique(doc[again], return_counts=True)
+            seq += 1
+            rows = [(-seq, own.tobytes(), n.astype(np.int64).tobytes())]
+            # a token of one document goes with it, one of several goes once, without a document
+            token, known, doc = token[first], again[first], doc[first]
+            cut = np.searchsorted(token, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            key = (token >> np.uint64(32 - bits)).astype(np.uint32)
+            who = np.where(known, np.int64(-1), np.arange(len(doc)))
+            for r, (k, w, d) in enumerate(zip(np.split(key, cut), np.split(who, cut), np.split(doc, cut), strict=True)):
+                if len(k):
+                    alone = w >= 0
+                    rows.append((r, np.concatenate([k[alone], k[~alone]]).tobytes(), d[alone].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "x", "y"])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["range"].iloc[0] < 0:
+            parts = [(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            return pd.DataFrame({"doc_id": np.concatenate([p[0] for p in parts]), "c": np.concatenate([p[1] for p in parts])})
+        keys = [np.frombuffer(x, dtype=np.uint32) for x in pdf["x"]]
+        docs_ = [np.frombuffer(y, dtype=np.int64) for y in pdf["y"]]
+        key = np.concatenate(keys)
+        doc = np.concatenate([np.append(d, np.full(len(k) - len(d), np.iinfo(np.int64).min)) for k, d in zip(keys, docs_, strict=True)])
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        same = key[1:] == key[:-1]
+        again = (np.append(False, same) | np.append(same, False)) & (doc != np.iinfo(np.int64).min)
+        own, n = np.unique(doc[again], return_counts=True)
+        return pd.DataFrame({"doc_id": own, "c": n.astype(np.int64)})
+
+    dealt = docs.filter("doc_id is not null").mapInArrow(deal, "range long, x binary, y binary")
+    return dealt.groupBy("range").applyInPandas(count, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; similarity of at least ``percent`` / 100."""
     spark = df.sparkSession
     ship(spark)
     docs = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    hottest = hot_tokens(docs, width, hot)
-    order = np.argsort(hottest)
-    shared = spark.sparkContext.broadcast((hottest[order], order))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 found = shingle_sets(texts_of(part), width)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
-                prefixes = [prefix_of(s, *shared.value, percent).view(np.int64) if len(s) else None for s in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in found], type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array(prefixes, type=pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "digest", "prefix"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in found], type=pa.int64()), pa.array(digests, type=pa.binary())], names=["doc_id", "n", "digest"])
 
-    rows = docs.mapInArrow(sets, "doc_id long, n long, digest binary, prefix array<long>")
+    rows = checkpoint(docs.mapInArrow(sets, "doc_id long, n long, digest binary"))
     linkable = rows.filter("doc_id is not null and digest is not null")
     # copies of a set are combined before the shuffle
-    reps = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    reps = checkpoint(reps.select("digest", "rep", "prefix"))
-    tokens = reps.select("rep", F.explode("prefix").alias("token"))
-    before = F.lag("rep").over(Window.partitionBy("token").orderBy("rep"))
-    chained = tokens.withColumn("b", before).filter("b is not null and b <> rep").select(F.col("rep").alias("a"), "b").distinct()
+    reps = checkpoint(linkable.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")))
+    counts = repeated_counts(docs, width)
+    hopeful = checkpoint(reps.join(counts, F.col("rep") == F.col("doc_id")).filter(100 * F.col("c") >= percent * F.col("n")).select("rep").distinct())
+    chained = chains(with_tokens(docs, hopeful, hopeful.count(), width), percent)
     families = checkpoint(components(chained).select(F.col("node").alias("rep"), F.col("root").alias("fam")))
     sizes = families.groupBy("fam").agg(F.count(F.lit(1)).alias("members"))
     active = families.count()
@@ -291,10 +317,30 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     across = links_across(docs, placed.filter(F.col("members") > block), local, block, width, percent)
     found = components(local if across is None else local.unionByName(across))
     names = reps.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    members = rows.drop("prefix").join(names, "digest", "left")
+    members = rows.join(names, "digest", "left")
     return members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def chains(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): representatives that follow each other under a token of both their prefixes."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(t, dtype=np.int64) for t in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(lists, type=pa.list_(pa.int64()))], names=["rep", "tokens"])
+
+    tokens = sets.mapInArrow(spread, "rep long, tokens array<long>").select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = tokens.join(shared, "token")
+    per = Window.partitionBy("rep")
+    rank = F.row_number().over(per.orderBy("df", "token"))
+    # tokens of one set alone come first in the order and lead nowhere
+    alone = F.col("n") - F.count(F.lit(1)).over(per)
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = held.withColumn("rank", rank).withColumn("most", prefix - alone).filter(F.col("rank") <= F.col("most"))
+    before = F.lag("rep").over(Window.partitionBy("token").orderBy("rep"))
+    return kept.select("rep", "token").withColumn("b", before).filter("b is not null and b <> rep").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def with_tokens(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> DataFrame:
     """``chosen`` (rep, ...) with the sorted shingles of each rep's text, as bytes."""
     names = [c for c in chosen.columns if c != "rep"]

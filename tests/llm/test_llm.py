@@ -132,10 +132,22 @@ def test_jaccard_join_large_family_in_small_blocks(spark):
         for _ in range(r.randrange(0, 9)):
             w[r.randrange(len(w))] = f"x{r.random()}"
         texts[i] = " ".join(w)
-    got = jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=8, hot=50).collect()
+    got = jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=8).collect()
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == components_by_force(texts)
 
 
+def test_repeated_counts_are_never_too_small(docs, rows):
+    where = defaultdict(set)
+    for i, t, *_ in rows:
+        if i is not None:
+            for g in shingles(t):
+                where[g].add(i)
+    got = {r["doc_id"]: r["c"] for r in jaccard_join.repeated_counts(docs.select("doc_id", "text"), 5).collect()}
+    for i, t, *_ in rows:
+        if i is not None:
+            assert got.get(i, 0) >= sum(len(where[g]) > 1 for g in shingles(t))
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]

@@ -5,8 +5,13 @@ bounded size, so a hot vector or cluster is many pages. A page is an M-tree: lea
 under routing nodes, each with its centre, covering radius and distance to its parent's centre.
 A block of queries meets a page in one task row. A query first bounds a node through the stored
 parent distance, by the triangle inequality, and computes its own distance to the centre only
-where that bound could still beat its k-th score; nodes are then opened best first. A page's root
-ball drops queries that cannot gain anything there, against scores from the queries' own pages.
+where that bound could still beat its k-th score; nodes are then opened best first.
+
+Above the pages stand two more levels, of the same kind: cells, at most ``PIVOT_SAMPLE``, and under
+them directories of at most ``DIRECTORY`` pages, each page with its ball and its distance to the
+cell's pivot. A block of queries, with the scores from its own page to beat, goes to the cells
+whose ball could hold more, by an equi-join to their directories, and on, again by an equi-join,
+to the pages left there. No two tables are paired without a key.
 
 For vectors of any norms, q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2 turns a bound on the distance
 into one on the score. Scores themselves are integers, computed exactly.
@@ -34,6 +39,8 @@ from farpoint.llm.common import checkpoint, ship
 PAGE, QUERIES, LEAF, FAN = 4096, 256, 64, 8
 #: Vectors from which pivots are drawn; the sample decides only how vectors are dealt.
 PIVOT_SAMPLE = 256
+#: Pages of a directory.
+DIRECTORY = 256
 LIMIT = 1 << 26
 #: Slack of the bounds for rounding of square roots, relative and absolute.
 SLACK = 1e-9
@@ -138,20 +145,46 @@ def tree_of(page: int, ids: bytes, x: bytes, width: int) -> MTree:
     return _TREES[key]
 
 
-def _pack(width: int, scale: float):
+def _matrix(vectors: pd.Series, width: int, scale: float) -> np.ndarray:
+    x = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        x[i, : len(v)] = v
+    return quantise(x, scale)
+
+
+def _apart(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - centre) ** 2).sum(axis=1))
+
+
+def _most(qq: np.ndarray, d: np.ndarray, radius: float, top: float) -> np.ndarray:
+    """No score in a ball at distance d, with squared norms of at most ``top``, is higher."""
+    low = np.maximum(0.0, d - radius)
+    return (qq + top - low * low) / 2 + SLACK * (qq + top) + SLACK
+
+
+def _pack(width: int, scale: float, pivots: np.ndarray):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((len(pdf), width))
-        for i, v in enumerate(pdf["v"]):
-            x[i, : len(v)] = v
-        x = quantise(x, scale)
+        x = _matrix(pdf["v"], width, scale)
         order = np.argsort(pdf["id"].to_numpy(), kind="stable")
-        c = x.mean(axis=0)
-        r = float(np.sqrt(((x - c) ** 2).sum(axis=1)).max())
-        return pd.DataFrame({"page": [pdf["page"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64)[order].tobytes()], "xs": [x[order].tobytes()], "centre": [c], "radius": [r], "top": [float((x * x).sum(axis=1).max())]})
+        page, c = int(pdf["page"].iloc[0]), x.mean(axis=0)
+        pivot = pivots[page >> 32]
+        out = {"page": page, "ids": pdf["id"].to_numpy(np.int64)[order].tobytes(), "xs": x[order].tobytes(), "centre": c.tobytes(), "radius": float(_apart(x, c).max()),
+               "top": float((x * x).sum(axis=1).max()), "up": float(_apart(c[None, :], pivot)[0]), "reach": float(_apart(x, pivot).max())}
+        return pd.DataFrame({k: [v] for k, v in out.items()})
     return run
 
 
-PAGES = "page long, ids binary, xs binary, centre array<double>, radius double, top double"
+PAGES = "page long, ids binary, xs binary, centre binary, radius double, top double, up double, reach double"
+
+
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A directory: its pages' centres, radii, greatest squared norms and distances to the pivot."""
+    out = {"dir": pdf["dir"].iloc[0], "members": pdf["page"].to_numpy(np.int64).tobytes(), "centres": b"".join(pdf["centre"])}
+    out |= {c: pdf[c].to_numpy(np.float64).tobytes() for c in ("radius", "top", "up")}
+    return pd.DataFrame({k: [v] for k, v in out.items()})
+
+
+DIRECTORIES = "dir long, members binary, centres binary, radius binary, top binary, up binary"
 
 
 def _search(width: int, k: int):
@@ -174,10 +207,7 @@ def _blocks(width: int, scale: float):
     """Query rows of a page as one block, with floors (-inf where unknown)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        x = np.zeros((len(pdf), width))
-        for i, v in enumerate(pdf["v"]):
-            x[i, : len(v)] = v
-        x = quantise(x, scale)
+        x = _matrix(pdf["v"], width, scale)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "home": [pdf["page"].iloc[0]], "qids": [pdf["id"].to_numpy(np.int64).tobytes()], "qxs": [x.tobytes()], "floors": [pdf["floor"].to_numpy(np.float64).tobytes()]})
     return run
 
@@ -185,22 +215,43 @@ def _blocks(width: int, scale: float):
 BLOCKS = "block string, home long, qids binary, qxs binary, floors binary"
 
 
-def _prune(width: int):
-    """Drops the queries of a block that no vector of a page's root ball can serve."""
+def _enter(width: int, pivots: np.ndarray, cells: list[tuple[int, int, float, float]]):
+    """The queries of a block that a cell's ball can serve, once for each of the cell's directories."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                ids, q, floors = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.qxs, dtype=np.float64).reshape(-1, width), np.frombuffer(r.floors, dtype=np.float64)
+                qq = (q * q).sum(axis=1)
+                for cell, directories, reach, top in cells:
+                    d = _apart(q, pivots[cell])
+                    keep = _most(qq, d, reach, top) >= floors
+                    if keep.any():
+                        some = (ids[keep].tobytes(), q[keep].tobytes(), floors[keep].tobytes(), d[keep].tobytes())
+                        yield pd.DataFrame([((cell << 32) + i, r.home, *some) for i in range(directories)], columns=["dir", "home", "qids", "qxs", "floors", "away"])
+    return run
+
+
+ENTRIES = "dir long, home long, qids binary, qxs binary, floors binary, away binary"
+
+
+def _descend(width: int):
+    """The queries that a page of the directory can serve: by the stored distances first, then by their own."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
             for r in f.itertuples(index=False):
-                q, floors = np.frombuffer(r.qxs, dtype=np.float64).reshape(-1, width), np.frombuffer(r.floors, dtype=np.float64)
-                d = np.sqrt(((q - np.asarray(r.centre)) ** 2).sum(axis=1))
-                qq, low = (q * q).sum(axis=1), np.maximum(0.0, d - r.radius)
-                most = (qq + r.top - low * low) / 2 + SLACK * (qq + r.top) + SLACK
-                keep = most >= floors
-                if keep.any():
-                    ids = np.frombuffer(r.qids, dtype=np.int64)
-                    out.append((r.page, ids[keep].tobytes(), q[keep].tobytes(), floors[keep].tobytes()))
-            if out:
-                yield pd.DataFrame(out, columns=["page", "qids", "qxs", "floors"])
+                ids, q, floors, away = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.qxs, dtype=np.float64).reshape(-1, width), np.frombuffer(r.floors, dtype=np.float64), np.frombuffer(r.away, dtype=np.float64)
+                pages, centres = np.frombuffer(r.members, dtype=np.int64), np.frombuffer(r.centres, dtype=np.float64).reshape(-1, width)
+                radius, top, up = (np.frombuffer(x, dtype=np.float64) for x in (r.radius, r.top, r.up))
+                qq, out = (q * q).sum(axis=1), []
+                for i, page in enumerate(pages.tolist()):
+                    if page == r.home:
+                        continue
+                    near = np.flatnonzero(_most(qq, np.abs(away - up[i]), radius[i], top[i]) >= floors)
+                    near = near[_most(qq[near], _apart(q[near], centres[i]), radius[i], top[i]) >= floors[near]]
+                    if len(near):
+                        out.append((page, ids[near].tobytes(), q[near].tobytes(), floors[near].tobytes()))
+                if out:
+                    yield pd.DataFrame(out, columns=["page", "qids", "qxs", "floors"])
     return run
 
 
@@ -235,7 +286,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))  # at most PIVOT_SAMPLE rows
     placed = dealt.join(F.broadcast(sizes), "cell").withColumn("pages", F.ceil(F.col("members") / PAGE)).withColumn(
         "page", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), "pages"))
-    pages = checkpoint(placed.select("id", "v", "page").groupBy("page").applyInPandas(_pack(width, scale), PAGES))
+    centres = quantise(np.array(chosen).reshape(-1, width) if chosen else np.zeros((1, width)), scale)
+    pages = checkpoint(placed.select("id", "v", "page").groupBy("page").applyInPandas(_pack(width, scale, centres), PAGES))
     queries = placed.filter(F.col("id") % modulus == 0)
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("members") / F.col("pages") / modulus / QUERIES) + 1)
     block = F.concat_ws(":", "page", part)
@@ -247,10 +299,12 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     floor = F.when(F.col("c") >= k, F.col("s").cast("double")).otherwise(float("-inf"))
     known = queries.select("id", "v", "page", block.alias("block")).join(kth, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce(floor, F.lit(float("-inf"))))
     known = checkpoint(known.select("id", "v", "page", "block", "floor").groupBy("block").applyInPandas(_blocks(width, scale), BLOCKS))
-    # every block visits every other page by its root ball alone, a few hundred bytes a page
-    meta = pages.select("page", "centre", "radius", "top")
-    meta = F.broadcast(meta) if n // PAGE <= 20_000 else meta
-    tasks = known.repartition(max(8, spark.sparkContext.defaultParallelism), "block").join(meta, F.col("home") != F.col("page"))
-    left = tasks.select("page", "centre", "radius", "top", "qids", "qxs", "floors").mapInPandas(_prune(width), "page long, qids binary, qxs binary, floors binary")
+    # at most PIVOT_SAMPLE cells, and from them by keys to directories and pages
+    number = F.col("page").bitwiseAND(F.lit((1 << 32) - 1))
+    listed = pages.drop("ids", "xs").withColumns({"cell": F.shiftright("page", 32), "number": F.floor(number / DIRECTORY)})
+    directories = listed.withColumn("dir", F.col("cell") * F.lit(1 << 32) + F.col("number")).groupBy("dir").applyInPandas(_gather, DIRECTORIES)
+    cells = [(int(r["cell"]), int(r["n"]), r["reach"], r["top"]) for r in listed.groupBy("cell").agg((F.max("number") + 1).alias("n"), F.max("reach").alias("reach"), F.max("top").alias("top")).collect()]
+    entries = known.select("home", "qids", "qxs", "floors").mapInPandas(_enter(width, centres, cells), ENTRIES)
+    left = entries.join(directories, "dir").mapInPandas(_descend(width), "page long, qids binary, qxs binary, floors binary")
     away = left.join(pages.select("page", "ids", "xs"), "page").select("page", "ids", "xs", "qids", "qxs", "floors").mapInPandas(_search(width, k), HITS)
     return best_of(home.unionByName(away), k).select("query_id", "rank", "vec_id", "score")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from farpoint.llm import audio, graph, jaccard_join, language_id, licenses, mixing, packing, registry, secrets, token_counts, topk_search, toxicity
+from farpoint.llm import audio, common, graph, jaccard_join, language_id, licenses, mixing, packing, registry, secrets, token_counts, topk_search, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -170,8 +170,10 @@ def vectors(n=700, seed=1):
     return rows + [(701, None, 0), (702, [None] + [1.0] * 7, 0), (703, [float("nan")] * 8, 0), (704, [float("inf")] * 8, 0), (705, [1.0, 2.0], 0), (20, rows[20][1], 0), (None, [1.0] * 8, 0)]
 
 
-def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "PAGE", 128)
+@pytest.mark.parametrize("page,pivots,directory", [(128, 256, 256), (32, 2, 3)])
+def test_top_k_equals_brute_force(spark, monkeypatch, page, pivots, directory):
+    for name, value in (("PAGE", page), ("PIVOT_SAMPLE", pivots), ("DIRECTORY", directory)):
+        monkeypatch.setattr(topk_search, name, value)
     data = vectors()
     got = topk_search.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>, score int")).collect()
     good = [(i, [int(np.floor(64 * float(np.float32(c)))) for c in v] + [0] * (8 - len(v))) for i, v, _ in data if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
@@ -183,6 +185,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert sorted(once) == sorted(w for w in want if w[0] != 20)
 
 
+def test_kept_objects_go_when_another_module_begins():
+    def run(batches):
+        yield from batches
+
+    mine, other = common.keep(run.__module__), common.keep("another module")
+    mine["a"], other["b"] = 1, 2
+    assert list(common.tidy(run)(iter([1, 2]))) == [1, 2]
+    assert mine == {"a": 1} and not other
+
+
 # 4
 def test_token_counts_equal_the_library(docs, rows):
     from tokenizers import Tokenizer

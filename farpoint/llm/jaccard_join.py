@@ -163,7 +163,7 @@ def traverse(t: SignatureTree, u: SignatureTree, shift: int, union: Union, perce
         if p[5] is None and q[5] is None:
             for i in p[4]:
                 for j in q[4]:
-                    if t is u and j <= i or union.find(i) == union.find(shift + j):
+                    if p is q and j <= i or union.find(i) == union.find(shift + j):
                         continue
                     n, m = int(t.size[i]), int(u.size[j])
                     need = needed(n, m, percent)

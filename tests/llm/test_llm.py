@@ -161,6 +161,22 @@ def test_components(spark):
     assert got == {i: find(i) for i in up}
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_traversal_of_one_tree_finds_links_across_leaves_in_any_row_order(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 1 << 62, 40).astype(np.uint64) for _ in range(60)]
+    base += [np.append(b[:38], rng.integers(0, 1 << 20, 2).astype(np.uint64)) for b in base]  # least tokens far from their partners'
+    sets = [np.unique(base[i]) for i in rng.permutation(len(base))]
+    tree, union = jaccard_join.SignatureTree(sets, jaccard_join.width_for(sets)), jaccard_join.Union(len(sets))
+    jaccard_join.traverse(tree, tree, 0, union, 80)
+    plain = jaccard_join.Union(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
+                plain.join(i, j)
+    assert [union.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
+
+
 # 3
 def vectors(n=700, seed=1):
     rng = np.random.default_rng(seed)

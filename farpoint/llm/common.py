@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -45,6 +47,41 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What a worker keeps from task to task, by the module it belongs to.
+_KEPT: dict[str, dict] = {}
+
+
+def keep(owner: str) -> dict:
+    """A dict that stays in a worker until a task of another module begins there."""
+    return _KEPT.setdefault(owner, {})
+
+
+def release() -> None:
+    """Gives freed memory back to the system; workers are reused and would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget_others(owner: str) -> None:
+    for name, kept in _KEPT.items():
+        if name != owner:
+            kept.clear()
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches, without what other modules keep in this worker, giving memory back at its end."""
+    owner = run.__module__
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
+        release()
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names."""
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])

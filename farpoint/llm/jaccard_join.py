@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import checkpoint, flat_words, pick, ship, slices, texts_of
+from farpoint.llm.common import checkpoint, flat_words, pick, ship, slices, texts_of, tidy
 from farpoint.llm.graph import components
 
 #: Tokens of a range, about.
@@ -282,7 +282,7 @@ def repeated_counts(docs: DataFrame, width: int) -> DataFrame:
         own, n = np.unique(doc[again], return_counts=True)
         return pd.DataFrame({"doc_id": own, "c": n.astype(np.int64)})
 
-    dealt = docs.filter("doc_id is not null").mapInArrow(deal, "range long, x binary, y binary")
+    dealt = docs.filter("doc_id is not null").mapInArrow(tidy(deal), "range long, x binary, y binary")
     return dealt.groupBy("range").applyInPandas(count, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
 
 
@@ -299,7 +299,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in found], type=pa.int64()), pa.array(digests, type=pa.binary())], names=["doc_id", "n", "digest"])
 
-    rows = checkpoint(docs.mapInArrow(sets, "doc_id long, n long, digest binary"))
+    rows = checkpoint(docs.mapInArrow(tidy(sets), "doc_id long, n long, digest binary"))
     linkable = rows.filter("doc_id is not null and digest is not null")
     # copies of a set are combined before the shuffle
     reps = checkpoint(linkable.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")))
@@ -328,7 +328,7 @@ def chains(sets: DataFrame, percent: int) -> DataFrame:
             lists = [np.frombuffer(t, dtype=np.int64) for t in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(lists, type=pa.list_(pa.int64()))], names=["rep", "tokens"])
 
-    tokens = sets.mapInArrow(spread, "rep long, tokens array<long>").select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    tokens = sets.mapInArrow(tidy(spread), "rep long, tokens array<long>").select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     held = tokens.join(shared, "token")
     per = Window.partitionBy("rep")
@@ -354,7 +354,7 @@ def with_tokens(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> Da
                 yield out.filter(pa.array([len(s) > 0 for s in found]))
 
     picked = docs.withColumnRenamed("doc_id", "rep").join(F.broadcast(chosen) if rows <= SMALL else chosen, "rep").select("rep", *names, "text")
-    return picked.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ("rep", *names)) + ", tokens binary")
+    return picked.mapInArrow(tidy(run), ", ".join(f"{c} {kinds[c]}" for c in ("rep", *names)) + ", tokens binary")
 
 
 def links_across(docs: DataFrame, members: DataFrame, local: DataFrame, block: int, width: int, percent: int) -> DataFrame | None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import pick, remainder, ship, slices
+from farpoint.llm.common import keep, pick, remainder, ship, slices, tidy
 
 DOCS = 200
 DOC_CHARS = 1000
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return {lang: text for lang, text in out.items() if any(map(str.isalpha, text))}
 
 
-_PARSERS: dict[int, Parser] = {}
+_PARSERS: dict[int, Parser] = keep(__name__)
 
 
 def parser(references: dict[str, str]) -> Parser:
@@ -195,4 +195,4 @@ def predict(docs: DataFrame, references: dict[str, str], id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, type=pa.string()), pa.array(score, type=pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("held_out", remainder("doc_id", hold_out[0]) == hold_out[1])
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from farpoint.llm.common import flat_words, pick, ship, slices, texts_of
+from farpoint.llm.common import flat_words, pick, ship, slices, texts_of, tidy
 
 K, WINDOW, BAND = 3, 3, 6
 COVERAGE = 0.8
@@ -193,4 +193,4 @@ def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = [[dict(zip(("license", "start", "end", "coverage"), x, strict=True)) for x in got.get(i, [])] for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, type=pa.list_(span))], names=["doc_id", "found"])
 
-    return pick(df, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, found array<struct<license:string,start:bigint,end:bigint,coverage:double>>")
+    return pick(df, doc_id=id_col, text=text_col).mapInArrow(tidy(run), f"doc_id {kind}, found array<struct<license:string,start:bigint,end:bigint,coverage:double>>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from farpoint.llm.common import CACHE_WORDS, flat_words, pick, ranges, row_sums, ship, slices, texts_of
+from farpoint.llm.common import CACHE_WORDS, flat_words, keep, pick, ranges, row_sums, ship, slices, texts_of, tidy
 
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -67,7 +67,7 @@ class WordIds:
             texts = pc.if_else(marked, texts, pc.ascii_lower(texts))
         index, words, offsets = flat_words(pc.ascii_split_whitespace(texts))
         names = words.to_pylist()
-        if len(self.known) > 2 * CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         self.learn([w for w in names if w not in self.known])
         coded = [self.known[w] for w in names]
@@ -158,7 +158,7 @@ class Packer:
             self.n_open = 1
 
 
-_CODERS: dict[str, WordIds] = {}
+_CODERS: dict[str, WordIds] = keep(__name__)
 
 
 def coder(path: str) -> WordIds:
@@ -206,4 +206,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         if packer.done:
             yield from rows()
 
-    return pick(df, doc_id=id_col, text=text_col).mapInArrow(run, schema)
+    return pick(df, doc_id=id_col, text=text_col).mapInArrow(tidy(run), schema)

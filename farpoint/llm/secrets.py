@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from farpoint.llm.common import pick, ship, slices
+from farpoint.llm.common import pick, ship, slices, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -157,7 +157,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     found[i] = [{"kind": k, "start": s, "end": e} for k, s, e in scan(texts[i].as_py(), min_log_guesses)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, type=pa.list_(span))], names=["doc_id", "found"])
 
-    return pick(df, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, found array<struct<kind:string,start:bigint,end:bigint>>")
+    return pick(df, doc_id=id_col, text=text_col).mapInArrow(tidy(run), f"doc_id {kind}, found array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]", min_log_guesses: float = 9.0) -> DataFrame:
@@ -176,7 +176,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]", min_lo
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, type=batch.column(at).type))
             yield batch
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:

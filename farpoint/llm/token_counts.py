@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from farpoint.llm.common import CACHE_WORDS, byte_lengths, flat_words, pick, row_sums, ship, slices, texts_of
+from farpoint.llm.common import CACHE_WORDS, byte_lengths, flat_words, keep, pick, row_sums, ship, slices, texts_of, tidy
 
 #: The public pre-tokenisation pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -128,7 +128,7 @@ class MergeCounter:
         return out
 
 
-_COUNTERS: dict[str, MergeCounter] = {}
+_COUNTERS: dict[str, MergeCounter] = keep(__name__)
 
 
 def counter(path: str) -> MergeCounter:
@@ -158,4 +158,4 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return pick(df, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return pick(df, doc_id=id_col, text=text_col).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import flat_words, pick, remainder, ship, slices, texts_of
+from farpoint.llm.common import flat_words, pick, remainder, ship, slices, texts_of, tidy
 
 SAMPLE = 20_000
 VOCABULARY = 4096
@@ -180,7 +180,7 @@ def word_table(rows: DataFrame) -> DataFrame:
                         table[w] = [int(c[i]) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(list(table)), *[pa.array([v[i] for v in table.values()], type=pa.int64()) for i in range(3)]], names=["word", "t", "c", "ct"])
 
-    parts = rows.mapInArrow(run, "word string, t long, c long, ct long")
+    parts = rows.mapInArrow(tidy(run), "word string, t long, c long, ct long")
     return parts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("ct").alias("ct"))
 
 
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(n, type=pa.int64()), pa.array(lists, type=pa.list_(pa.float64()))], names=["y", "n", "s"])
 
     # one short row per sampled document, at most ``sample``
-    seen = rows.mapInArrow(best, "y int, n long, s array<double>").collect()
+    seen = rows.mapInArrow(tidy(best), "y int, n long, s array<double>").collect()
     clean = [lam * max(r["s"], default=0.0) - math.log(max(r["n"], 1)) for r in seen if r["y"] == 0]
     k = math.exp(min(50.0, float(np.mean(clean)) - 0.5772156649015329)) if clean else 1.0
     scorer = Scorer(Model(words, tuple(weights.tolist()), lam, k))
@@ -275,7 +275,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, type=pa.list_(span))], names=["doc_id", "held_out", "score", "predicted", "passages"])
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("held_out", remainder("doc_id", hold_out) == 0)
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, passages array<struct<start:bigint,end:bigint,score:double,log_e:double>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int, passages array<struct<start:bigint,end:bigint,score:double,log_e:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -288,4 +288,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             for part in slices(batch, text_col):
                 yield part.filter(pa.array(scorer.score(texts_of(part, text_col))[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

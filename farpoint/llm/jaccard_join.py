@@ -40,6 +40,8 @@ from farpoint.llm.graph import components
 
 #: Tokens of a range, about.
 RANGE_TOKENS = 1_000_000
+#: Tokens, about, that a worker sorts at a time before they are dealt.
+RUN_TOKENS = 1_000_000
 #: Sets in a block.
 BLOCK = 512
 #: Rows up to which a table of ids is broadcast; beyond, it is joined by shuffle.
@@ -228,28 +230,39 @@ def _links_between(percent: int):
 def repeated_counts(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, c): how many of a document's tokens occur in another document too; none missing means 0.
 
-    Tokens repeated within a batch are counted there and sent once, so a very common token costs
-    its range one entry a batch. Ranges compare 32 more bits of the hash; tokens that agree in
+    Tokens repeated within a run of documents are counted there and sent once, so a very common
+    token costs its range one entry a run. A run ends once it holds ``RUN_TOKENS``, however wide the batches. Ranges compare 32 more bits of the hash; tokens that agree in
     those only add to c, which may be too large but never too small.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(20, max(4, math.ceil(math.log2(chars / 6 / RANGE_TOKENS + 1))))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        seq = TaskContext.get().partitionId() << 20
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+        ids, sets, held = [], [], 0
         for batch in batches:
-            ids, sets = [], []
             for part in slices(batch):
                 ids += part.column("doc_id").to_pylist()
-                sets += shingle_sets(texts_of(part), width)
-            if not sum(map(len, sets)):
-                continue
+                found = shingle_sets(texts_of(part), width)
+                sets += found
+                held += sum(map(len, found))
+                del found
+                if held >= RUN_TOKENS:
+                    yield ids, sets
+                    ids, sets, held = [], [], 0
+        if held:
+            yield ids, sets
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seq = TaskContext.get().partitionId() << 32
+        for ids, sets in runs(batches):
             doc = np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in sets])
             token = np.concatenate(sets)
+            sets.clear()
             order = np.argsort(token, kind="stable")
             token, doc = token[order], doc[order]
+            del order
             same = token[1:] == token[:-1]
             again = np.append(False, same) | np.append(same, False)
             first = np.append(True, ~same)
@@ -260,11 +273,9 @@ def repeated_counts(docs: DataFrame, width: int) -> DataFrame:
             token, known, doc = token[first], again[first], doc[first]
             cut = np.searchsorted(token, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             key = (token >> np.uint64(32 - bits)).astype(np.uint32)
-            who = np.where(known, np.int64(-1), np.arange(len(doc)))
-            for r, (k, w, d) in enumerate(zip(np.split(key, cut), np.split(who, cut), np.split(doc, cut), strict=True)):
+            for r, (k, known_, d) in enumerate(zip(np.split(key, cut), np.split(known, cut), np.split(doc, cut), strict=True)):
                 if len(k):
-                    alone = w >= 0
-                    rows.append((r, np.concatenate([k[alone], k[~alone]]).tobytes(), d[alone].tobytes()))
+                    rows.append((r, np.concatenate([k[~known_], k[known_]]).tobytes(), d[~known_].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "x", "y"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -123,6 +123,20 @@ def test_jaccard_join_equals_all_pairs(docs, rows, block):
     assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
 
 
+@pytest.mark.parametrize("run", [1, 30, 1_000_000])
+def test_repeated_counts_do_not_depend_on_runs(spark, monkeypatch, run):
+    monkeypatch.setattr(jaccard_join, "RUN_TOKENS", run)
+    r = random.Random(4)
+    texts = {i: " ".join(r.choice("ab") for _ in range(r.randrange(0, 25))) for i in range(40)}
+    texts[40] = texts[41] = "words of two copies, found nowhere else at all"
+    texts[42] = "and some more words of a single text"
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = {i: sum(any(x in sets[j] for j in sets if j != i) for x in s) for i, s in sets.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {x["doc_id"]: x["c"] for x in jaccard_join.repeated_counts(df, 5).collect()}
+    assert {i: c for i, c in got.items() if c} == {i: c for i, c in want.items() if c}
+
+
 def test_jaccard_join_large_family_in_small_blocks(spark):
     r = random.Random(8)
     base = [f"w{i}" for i in range(200)]

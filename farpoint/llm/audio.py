@@ -5,9 +5,10 @@ filters over their integral image, each quantised to two bits, pack every positi
 integer. Equal fingerprints form a class. Two recordings align at the offset that most of their
 equal integers agree on; the share of differing bits there decides whether they match.
 
-Candidates are classes that share ``RUN`` consecutive integers; under such a run each class is
-compared with the run's first class, so a common passage costs its members, not their pairs.
-Matches are closed transitively into groups.
+Candidates are classes that share ``RUN`` consecutive integers. Under such a run each class is first
+compared with the run's first class; then all pairs of its classes that are not yet in one group
+are, in pairs of blocks of ``BLOCK`` classes. Matches are closed transitively into groups, so these
+are the groups of all candidate pairs; a passage common to many unlike recordings costs their pairs.
 
 Cases: null, unreadable or too short recordings have an empty fingerprint and are in no class but
 their own; repeated rows share a class; rows with a null id have a null class; an empty table
@@ -33,6 +34,8 @@ from farpoint.llm.graph import components
 FRAME, HOP = 256, 64
 FILTERS, WIDTH = 16, 8
 RUN = 4
+#: Classes of a run that one task row group holds on each side.
+BLOCK = 256
 #: Greatest share of differing bits of a match.
 BIT_ERRORS = 0.2
 
@@ -174,6 +177,17 @@ def fingerprints(df: DataFrame, id_col: str = "id", media_col: str = "media") ->
     return rows.mapInArrow(run, "id long, prints array<int>, digest string")
 
 
+def unlinked(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b), a > b: all pairs of classes that share a run and are in different groups."""
+    placed = keyed.join(groups, F.col("class") == F.col("node"), "left").select("run", "class", F.coalesce("root", "class").alias("root"))
+    sizes = placed.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    placed = placed.join(sizes.select("run", F.ceil(F.col("n") / BLOCK).alias("blocks")), "run").withColumn("own", F.pmod(F.xxhash64("class"), "blocks"))
+    x = placed.select("run", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    y = placed.select("run", F.col("class").alias("y"), F.col("root").alias("ry"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"))
+    both = (x["run"] == y["run"]) & (x["i"] == y["i"]) & (x["j"] == y["j"]) & (F.col("rx") != F.col("ry")) & ((x["i"] < x["j"]) | (F.col("x") > F.col("y")))
+    return x.join(y, both).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def match(df: DataFrame, id_col: str = "id", media_col: str = "media", bit_errors: float = BIT_ERRORS) -> DataFrame:
     """(id, n_prints, digest, class_id, group_id): class of equal fingerprints, group of aligned ones; each named by its least id."""
     prints = checkpoint(fingerprints(df, id_col, media_col))
@@ -182,7 +196,7 @@ def match(df: DataFrame, id_col: str = "id", media_col: str = "media", bit_error
     runs = F.transform(F.sequence(F.lit(1), F.size("prints") - RUN + 1), lambda i: F.xxhash64(F.slice("prints", i, RUN)))
     keyed = classes.filter(F.size("prints") >= RUN).select("class", F.explode(F.array_distinct(runs)).alias("run"))
     first = keyed.groupBy("run").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = keyed.join(first, "run").filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
+    pairs = checkpoint(keyed.join(first, "run").filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct())
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -195,8 +209,10 @@ def match(df: DataFrame, id_col: str = "id", media_col: str = "media", bit_error
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     side = lambda key, name: classes.select(F.col("class").alias(key), F.col("prints").alias(name))
-    links = checkpoint(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(check, "a long, b long"))
-    groups = components(links)
+    aligned = lambda some: checkpoint(some.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(check, "a long, b long"))
+    links = aligned(pairs)
+    rest = unlinked(keyed.join(first.select("run"), "run"), components(links)).join(pairs, ["a", "b"], "left_anti")
+    groups = components(links.unionByName(aligned(rest)))
     names = classes.select("digest", "class").join(groups, F.col("class") == F.col("node"), "left").select("digest", "class", F.coalesce("root", "class").alias("root"))
     out = prints.join(names, "digest", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))

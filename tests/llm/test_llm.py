@@ -419,6 +419,31 @@ def test_audio_aligns_shifted_and_noisy_recordings(spark):
     assert [got[i]["group_id"] for i in (0, 1, 2, 3, 4, 5, 6, 7)] == [0, 0, 0, 0, 4, 5, 6, 7] and got[None]["class_id"] is None
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_audio_groups_equal_all_pairs_under_a_shared_intro(spark, monkeypatch, block):
+    monkeypatch.setattr(audio, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(2)
+    rate, note = 2000, 160
+    tune = lambda keys: np.concatenate([0.4 * np.sin(2 * np.pi * 262 * 2 ** (k / 12) * np.arange(note) / rate) for k in keys])
+    intro = rng.integers(0, 24, 12)
+    clips = [tune(np.append(intro, rng.integers(0, 24, 40))) for _ in range(4)]
+    cut = len(intro) * note
+    # copies whose only exact integers are those of the intro
+    clips += [np.append(c[:cut], c[cut:] + rng.normal(0, 0.2, len(c) - cut)) for c in clips[1:3]]
+    prints = [audio.fingerprint(*audio.read_wav(audio.write_wav(c, rate))) for c in clips]
+    runs = [{tuple(f[i : i + audio.RUN]) for i in range(len(f) - audio.RUN + 1)} for f in prints]
+    root = list(range(len(clips)))
+    for a in range(len(clips)):
+        for b in range(a):
+            _, n, errors = audio.align(prints[a], prints[b])
+            if runs[a] & runs[b] and errors <= audio.BIT_ERRORS and 2 * n >= min(len(prints[a]), len(prints[b])):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert root == [0, 1, 2, 3, 1, 2]
+    rows = [(i, bytearray(audio.write_wav(c, rate))) for i, c in enumerate(clips)]
+    got = {r["id"]: r["group_id"] for r in audio.match(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    assert [got[i] for i in range(len(clips))] == root
+
+
 def test_integral_image_sums():
     c = np.random.default_rng(1).random((20, 12))
     image = np.zeros((21, 13))

@@ -19,7 +19,9 @@ into one on the score. Scores themselves are integers, computed exactly.
 Components x become floor(scale * x). Cases: null vectors and those with a null or non-finite
 component take no part; shorter vectors are padded with zeros; components beyond +-2^26 after
 scaling are clipped there, so that scores fit a long; repeated rows are ranked each, except those
-with the query's own id; ties go to the smaller id; rows with a null id take no part.
+with the query's own id; ties go to the smaller id; rows with a null id take no part. A query is an
+id with a vector (after scaling): repeated query rows are one query, and an id with several vectors
+has ranks 1 to k for each of them.
 """
 
 from __future__ import annotations
@@ -192,27 +194,27 @@ def _search(width: int, k: int):
         for f in frames:
             for r in f.itertuples(index=False):
                 t = tree_of(r.page, r.ids, r.xs, width)
-                qids, q = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.qxs, dtype=np.float64).reshape(-1, width)
+                qids, keys, q = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.qkeys, dtype=np.int64), np.frombuffer(r.qxs, dtype=np.float64).reshape(-1, width)
                 floors = np.frombuffer(r.floors, dtype=np.float64)
-                out = [(int(i), n, s) for i, v, fl in zip(qids.tolist(), q, floors.tolist(), strict=True) for s, n in t.search(v, i, k, fl)]
+                out = [(i, key, n, s) for i, key, v, fl in zip(qids.tolist(), keys.tolist(), q, floors.tolist(), strict=True) for s, n in t.search(v, i, k, fl)]
                 if out:
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    yield pd.DataFrame(out, columns=["query_id", "qkey", "vec_id", "score"])
     return run
 
 
-HITS = "query_id long, vec_id long, score long"
+HITS = "query_id long, qkey long, vec_id long, score long"
 
 
 def _blocks(width: int, scale: float):
     """Query rows of a page as one block, with floors (-inf where unknown)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
+        pdf = pdf.sort_values(["id", "key"], kind="stable")
         x = _matrix(pdf["v"], width, scale)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "home": [pdf["page"].iloc[0]], "qids": [pdf["id"].to_numpy(np.int64).tobytes()], "qxs": [x.tobytes()], "floors": [pdf["floor"].to_numpy(np.float64).tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "home": [pdf["page"].iloc[0]], "qids": [pdf["id"].to_numpy(np.int64).tobytes()], "qkeys": [pdf["key"].to_numpy(np.int64).tobytes()], "qxs": [x.tobytes()], "floors": [pdf["floor"].to_numpy(np.float64).tobytes()]})
     return run
 
 
-BLOCKS = "block string, home long, qids binary, qxs binary, floors binary"
+BLOCKS = "block string, home long, qids binary, qkeys binary, qxs binary, floors binary"
 
 
 def _enter(width: int, pivots: np.ndarray, cells: list[tuple[int, int, float, float]]):
@@ -220,18 +222,18 @@ def _enter(width: int, pivots: np.ndarray, cells: list[tuple[int, int, float, fl
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
-                ids, q, floors = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.qxs, dtype=np.float64).reshape(-1, width), np.frombuffer(r.floors, dtype=np.float64)
+                ids, keys, q, floors = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.qkeys, dtype=np.int64), np.frombuffer(r.qxs, dtype=np.float64).reshape(-1, width), np.frombuffer(r.floors, dtype=np.float64)
                 qq = (q * q).sum(axis=1)
                 for cell, directories, reach, top in cells:
                     d = _apart(q, pivots[cell])
                     keep = _most(qq, d, reach, top) >= floors
                     if keep.any():
-                        some = (ids[keep].tobytes(), q[keep].tobytes(), floors[keep].tobytes(), d[keep].tobytes())
-                        yield pd.DataFrame([((cell << 32) + i, r.home, *some) for i in range(directories)], columns=["dir", "home", "qids", "qxs", "floors", "away"])
+                        some = (ids[keep].tobytes(), keys[keep].tobytes(), q[keep].tobytes(), floors[keep].tobytes(), d[keep].tobytes())
+                        yield pd.DataFrame([((cell << 32) + i, r.home, *some) for i in range(directories)], columns=["dir", "home", "qids", "qkeys", "qxs", "floors", "away"])
     return run
 
 
-ENTRIES = "dir long, home long, qids binary, qxs binary, floors binary, away binary"
+ENTRIES = "dir long, home long, qids binary, qkeys binary, qxs binary, floors binary, away binary"
 
 
 def _descend(width: int):
@@ -239,7 +241,7 @@ def _descend(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
-                ids, q, floors, away = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.qxs, dtype=np.float64).reshape(-1, width), np.frombuffer(r.floors, dtype=np.float64), np.frombuffer(r.away, dtype=np.float64)
+                ids, keys, q, floors, away = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.qkeys, dtype=np.int64), np.frombuffer(r.qxs, dtype=np.float64).reshape(-1, width), np.frombuffer(r.floors, dtype=np.float64), np.frombuffer(r.away, dtype=np.float64)
                 pages, centres = np.frombuffer(r.members, dtype=np.int64), np.frombuffer(r.centres, dtype=np.float64).reshape(-1, width)
                 radius, top, up = (np.frombuffer(x, dtype=np.float64) for x in (r.radius, r.top, r.up))
                 qq, out = (q * q).sum(axis=1), []
@@ -249,19 +251,19 @@ def _descend(width: int):
                     near = np.flatnonzero(_most(qq, np.abs(away - up[i]), radius[i], top[i]) >= floors)
                     near = near[_most(qq[near], _apart(q[near], centres[i]), radius[i], top[i]) >= floors[near]]
                     if len(near):
-                        out.append((page, ids[near].tobytes(), q[near].tobytes(), floors[near].tobytes()))
+                        out.append((page, ids[near].tobytes(), keys[near].tobytes(), q[near].tobytes(), floors[near].tobytes()))
                 if out:
-                    yield pd.DataFrame(out, columns=["page", "qids", "qxs", "floors"])
+                    yield pd.DataFrame(out, columns=["page", "qids", "qkeys", "qxs", "floors"])
     return run
 
 
 def best_of(hits: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", modulus: int = 20, k: int = 20, scale: float = 64.0) -> DataFrame:
-    """(query_id, rank, vec_id, score): for rows whose id is divisible by ``modulus``, the k best other rows."""
+    """(query_id, rank, vec_id, score): for each id divisible by ``modulus`` and each of its vectors, the k best other rows."""
     spark = df.sparkSession
     ship(spark)
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
@@ -288,23 +290,24 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         "page", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), "pages"))
     centres = quantise(np.array(chosen).reshape(-1, width) if chosen else np.zeros((1, width)), scale)
     pages = checkpoint(placed.select("id", "v", "page").groupBy("page").applyInPandas(_pack(width, scale, centres), PAGES))
-    queries = placed.filter(F.col("id") % modulus == 0)
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("members") / F.col("pages") / modulus / QUERIES) + 1)
+    scaled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.floor(F.greatest(F.least(F.coalesce(F.get("v", i), F.lit(0.0)) * scale, F.lit(float(LIMIT))), F.lit(float(-LIMIT)))))
+    queries = checkpoint(placed.filter(F.col("id") % modulus == 0).withColumn("key", F.xxhash64(scaled)).dropDuplicates(["id", "key"]))
+    part = F.pmod(F.xxhash64("id", "key", F.lit(1)), F.ceil(F.col("members") / F.col("pages") / modulus / QUERIES) + 1)
     block = F.concat_ws(":", "page", part)
-    own = queries.select("id", "v", "page", block.alias("block"), F.lit(float("-inf")).alias("floor"))
+    own = queries.select("id", "key", "v", "page", block.alias("block"), F.lit(float("-inf")).alias("floor"))
     blocks = own.groupBy("block").applyInPandas(_blocks(width, scale), BLOCKS)
-    home = checkpoint(blocks.join(pages, F.col("home") == F.col("page")).select("page", "ids", "xs", "qids", "qxs", "floors").mapInPandas(_search(width, k), HITS))
+    home = checkpoint(blocks.join(pages, F.col("home") == F.col("page")).select("page", "ids", "xs", "qids", "qkeys", "qxs", "floors").mapInPandas(_search(width, k), HITS))
     # the k-th score at home is what other pages must reach
-    kth = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s"))
+    kth = home.groupBy("query_id", "qkey").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s"))
     floor = F.when(F.col("c") >= k, F.col("s").cast("double")).otherwise(float("-inf"))
-    known = queries.select("id", "v", "page", block.alias("block")).join(kth, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce(floor, F.lit(float("-inf"))))
-    known = checkpoint(known.select("id", "v", "page", "block", "floor").groupBy("block").applyInPandas(_blocks(width, scale), BLOCKS))
+    known = queries.select("id", "key", "v", "page", block.alias("block")).join(kth, (F.col("id") == F.col("query_id")) & (F.col("key") == F.col("qkey")), "left").withColumn("floor", F.coalesce(floor, F.lit(float("-inf"))))
+    known = checkpoint(known.select("id", "key", "v", "page", "block", "floor").groupBy("block").applyInPandas(_blocks(width, scale), BLOCKS))
     # at most PIVOT_SAMPLE cells, and from them by keys to directories and pages
     number = F.col("page").bitwiseAND(F.lit((1 << 32) - 1))
     listed = pages.drop("ids", "xs").withColumns({"cell": F.shiftright("page", 32), "number": F.floor(number / DIRECTORY)})
     directories = listed.withColumn("dir", F.col("cell") * F.lit(1 << 32) + F.col("number")).groupBy("dir").applyInPandas(_gather, DIRECTORIES)
     cells = [(int(r["cell"]), int(r["n"]), r["reach"], r["top"]) for r in listed.groupBy("cell").agg((F.max("number") + 1).alias("n"), F.max("reach").alias("reach"), F.max("top").alias("top")).collect()]
-    entries = known.select("home", "qids", "qxs", "floors").mapInPandas(_enter(width, centres, cells), ENTRIES)
-    left = entries.join(directories, "dir").mapInPandas(_descend(width), "page long, qids binary, qxs binary, floors binary")
-    away = left.join(pages.select("page", "ids", "xs"), "page").select("page", "ids", "xs", "qids", "qxs", "floors").mapInPandas(_search(width, k), HITS)
+    entries = known.select("home", "qids", "qkeys", "qxs", "floors").mapInPandas(_enter(width, centres, cells), ENTRIES)
+    left = entries.join(directories, "dir").mapInPandas(_descend(width), "page long, qids binary, qkeys binary, qxs binary, floors binary")
+    away = left.join(pages.select("page", "ids", "xs"), "page").select("page", "ids", "xs", "qids", "qkeys", "qxs", "floors").mapInPandas(_search(width, k), HITS)
     return best_of(home.unionByName(away), k).select("query_id", "rank", "vec_id", "score")

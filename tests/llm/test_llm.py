@@ -215,6 +215,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch, page, pivots, directory):
     assert sorted(once) == sorted(w for w in want if w[0] != 20)
 
 
+@pytest.mark.parametrize("page,pivots", [(4096, 256), (32, 2)])
+def test_top_k_of_repeated_query_rows(spark, monkeypatch, page, pivots):
+    monkeypatch.setattr(topk_search, "PAGE", page)
+    monkeypatch.setattr(topk_search, "PIVOT_SAMPLE", pivots)
+    data = [(i, v) for i, v, _ in vectors(150) if i is not None and i < 150]
+    data += [(20, data[20][1])] + [(40, data[40][1])] * 25 + [(60, data[1][1]), (60, data[2][1]), (60, data[1][1])]
+    whole = [(i, tuple(int(np.floor(64 * float(np.float32(c)))) for c in v)) for i, v in data]
+    want = []
+    for q, x in {g for g in whole if g[0] % 20 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in whole if i != q)[:20]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    got = topk_search.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    assert len(want) == 20 * (8 + 2) and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_kept_objects_go_when_another_module_begins():
     def run(batches):
         yield from batches

@@ -8,7 +8,8 @@ of the log10 guesses of the spans; each span also pays for its kind being unknow
 
 Spans are (kind, start, end) in code points, end exclusive, of the whole match (``guess``: of the
 value). Cases: null text has no spans; repeated rows are scanned each; null ids stay null; an
-empty table gives an empty table; texts are scanned whole. A ``guess`` never overlaps a base span.
+empty table gives an empty table; texts and values are scanned whole. A ``guess`` never overlaps a
+base span: a value that starts in one is left to it, and base spans further on cut it into parts.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)"""
-    r"""["']?[\x20\t]*(?:[:=]{1,2}>?|\bis\b)[\x20\t]*["']?([!#-&(-~]{6,256})""", re.I | re.A,
+    r"""["']?[\x20\t]*(?:[:=]{1,2}>?|\bis\b)[\x20\t]*["']?([!#-&(-~]{6,})""", re.I | re.A,
 )
 #: RE2 forms of the above that a text must match to be scanned in Python at all.
 MAY_ASSIGN = r"""(?i)(?:passwo?r?d|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
@@ -64,10 +65,15 @@ NEAR = _neighbours()
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:19|20)\d\d)")
 #: log10 of the kinds a guesser must try for each span.
 KIND_COST = math.log10(6)
+#: Characters after which a cost is first compared with what is enough, and then again.
+LOOK = 64
 
 
-def guess_cost(value: str, words: tuple[str, ...] | list[str] = tuple(COMMON)) -> tuple[float, list[tuple[str, int, int]]]:
-    """(log10 of guesses, [(kind, start, end)]) of the cheapest cut of ``value``."""
+def guess_cost(value: str, words: tuple[str, ...] | list[str] = tuple(COMMON), enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
+    """(log10 of guesses, [(kind, start, end)]) of the cheapest cut of ``value``.
+
+    Once every cut is certain to cost ``enough``, the sum stops: (what is certain, no spans).
+    """
     n, ranks = len(value), {w: i + 1 for i, w in enumerate(words)}
     longest = max(map(len, ranks), default=0)
     low = value.lower()
@@ -103,6 +109,11 @@ def guess_cost(value: str, words: tuple[str, ...] | list[str] = tuple(COMMON)) -
             options.append((best[s] + math.log10(365 * 120) + KIND_COST, "date", s))
         best[e], kind, s = min(options)
         cut[e] = (kind, s)
+        if e % LOOK == 0 and e < n:
+            # every cut of the whole has a bound here or a span across, from one of these starts
+            certain = min(*best[max(0, e - max(longest, 10)) : e + 1], *(best[e - back[e - 1]] for back in (same, step, walk)))
+            if certain >= enough:
+                return certain, []
     spans, e = [], n
     while e:
         kind, s = cut[e]
@@ -125,8 +136,14 @@ def scan(text: str, min_log_guesses: float = 9.0, min_length: int = 8, words=tup
     for m in CONTEXT.finditer(text):
         s, e = m.span(1)
         e = s + len(m[1].rstrip(".,;:!?)]}>"))
-        if e - s >= min_length and len(classes(text[s:e])) > 1 and not any(a < e and s < b for a, b in base) and guess_cost(text[s:e], words)[0] >= min_log_guesses:
-            found.append(("guess", s, e))
+        inside = [(a, b) for a, b in base if a < e and s < b]
+        if inside and inside[0][0] <= s:
+            continue
+        if e - s >= min_length and len(classes(text[s:e])) > 1 and guess_cost(text[s:e], words, min_log_guesses)[0] >= min_log_guesses:
+            for a, b in [*inside, (e, e)]:
+                if a > s:
+                    found.append(("guess", s, a))
+                s = max(s, b)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

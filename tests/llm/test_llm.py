@@ -84,6 +84,22 @@ def test_guess_adds_and_redaction_masks(spark):
     assert out[0]["text"] == 'pwd: [SECRET] and [SECRET]". the secret is something plain' and out[1]["text"] is None
 
 
+def test_guess_covers_values_of_any_length():
+    r = random.Random(9)
+    value = "".join(r.choice("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789.-_") for _ in range(5000)) + "Q"
+    for n in (256, 257, 404, 5000):
+        assert secrets.scan(f"auth: {value[-n:]} end") == [("guess", 6, 6 + n)]
+        assert secrets.masked(f"auth: {value[-n:]} end", secrets.scan(f"auth: {value[-n:]} end"), "#") == "auth: # end"
+    cut = value[:299] + "Z04dbebab91ab85687d33Z" + value[-49:]
+    assert secrets.scan(f"pwd={cut}") == [("guess", 4, 304), ("hex", 304, 324), ("guess", 324, 374)]
+    parts = ["password", "aaaaaaaaa", "qwertyuiop", "20190312", "x9", "abcdefghijk", "Zq#", "dragon", "1" * 90]
+    for _ in range(200):
+        v = "".join(r.choices(parts, k=r.randrange(1, 40)))
+        for enough in (3.0, 9.0, 20.0, 40.0):
+            certain, cost = secrets.guess_cost(v, enough=enough)[0], secrets.guess_cost(v)[0]
+            assert certain <= cost and (certain >= enough) == (cost >= enough)
+
+
 def test_secret_digest(spark, tmp_path, rows):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     for r in registry.op1_secrets(spark, str(tmp_path)).collect():

@@ -4,7 +4,8 @@ Base kinds are matched leftmost and without overlap over whole texts. The method
 ``guess``: a value after a credential word (``pwd: ...``, ``password is ...``) whose guess cost,
 by dynamic programming, reaches ``min_log_guesses``. The cost of a value is the least sum, over
 all ways to cut it into words, dates, repeats, keyboard walks, sequences and brute-force spans,
-of the log10 guesses of the spans; each span also pays for its kind being unknown.
+of the log10 guesses of the spans; each span also pays for its kind being unknown. After ``is``,
+where prose is common, a value of letters or digits alone is no guess; after ``:`` and ``=`` the cost decides.
 
 Spans are (kind, start, end) in code points, end exclusive, of the whole match (``guess``: of the
 value). Cases: null text has no spans; repeated rows are scanned each; null ids stay null; an
@@ -32,7 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)"""
-    r"""["']?[\x20\t]*(?:[:=]{1,2}>?|\bis\b)[\x20\t]*["']?([!#-&(-~]{6,})""", re.I | re.A,
+    r"""["']?[\x20\t]*(?:[:=]{1,2}>?|(?P<prose>\bis\b))[\x20\t]*["']?(?P<value>[!#-&(-~]{6,})""", re.I | re.A,
 )
 #: RE2 forms of the above that a text must match to be scanned in Python at all.
 MAY_ASSIGN = r"""(?i)(?:passwo?r?d|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
@@ -134,12 +135,12 @@ def scan(text: str, min_log_guesses: float = 9.0, min_length: int = 8, words=tup
     found += [("hex", *m.span()) for m in HEX.finditer(text) if len(m[0]) >= 16]
     base = sorted(x[1:] for x in found)
     for m in CONTEXT.finditer(text):
-        s, e = m.span(1)
-        e = s + len(m[1].rstrip(".,;:!?)]}>"))
+        s = m.start("value")
+        e = s + len(m["value"].rstrip(".,;:!?)]}>"))
         inside = [(a, b) for a, b in base if a < e and s < b]
         if inside and inside[0][0] <= s:
             continue
-        if e - s >= min_length and len(classes(text[s:e])) > 1 and guess_cost(text[s:e], words, min_log_guesses)[0] >= min_log_guesses:
+        if e - s >= min_length and (not m["prose"] or len(classes(text[s:e])) > 1) and guess_cost(text[s:e], words, min_log_guesses)[0] >= min_log_guesses:
             for a, b in [*inside, (e, e)]:
                 if a > s:
                     found.append(("guess", s, a))

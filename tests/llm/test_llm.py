@@ -100,6 +100,12 @@ def test_guess_covers_values_of_any_length():
             assert certain <= cost and (certain >= enough) == (cost >= enough)
 
 
+@pytest.mark.parametrize("text,value", [("pwd: QmXzTrLkWvBnHsJd", "QmXzTrLkWvBnHsJd"), ("passphrase=hqzvkwpxjr", "hqzvkwpxjr"), ("pin: 830651749264", "830651749264"), ("password is QmXzTrLkWvBnHsJd", None), ("pwd: aaaaaaaaaaaa", None)])
+def test_values_of_one_kind_are_judged_by_cost_but_after_is(text, value):
+    at = text.find(value or "?")
+    assert secrets.scan(text) == ([("guess", at, at + len(value))] if value else [])
+
+
 def test_secret_digest(spark, tmp_path, rows):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     for r in registry.op1_secrets(spark, str(tmp_path)).collect():

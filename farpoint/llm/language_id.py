@@ -6,8 +6,9 @@ reference size, estimate the cross entropy, and the language with the least wins
 
 Texts are lower-cased; all but letters become one space. Parsing runs in lock-step over lanes of
 ``LANE`` characters, one array step per character, so each lane starts a phrase of its own.
-The references come from at most ``DOCS`` documents a language, those with the smallest hash,
-of at most ``LANGUAGES`` languages, the most frequent.
+Every letter of the references has a symbol of its own. Every language is learned, from the first
+``DOC_CHARS`` characters of its documents with the smallest hash, at most ``DOCS`` of them, until
+``REFERENCE`` characters are full.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything when
 nothing was learned; null languages do not train; repeated rows are predicted each; null ids stay
@@ -28,14 +29,17 @@ from farpoint.llm.common import keep, pick, remainder, ship, slices, tidy
 
 DOCS = 200
 DOC_CHARS = 1000
-LANGUAGES = 64
+#: Characters of a language's reference.
+REFERENCE = 20_000
 LANE = 256
-#: Letters told apart; the rest share one symbol. Symbol 0 is the space.
-SYMBOLS = 64
+#: Entries that the tables of all languages together may have; beyond that, transitions are kept sorted.
+DENSE = 16 << 20
+#: Rows of ids that are broadcast.
+SMALL = 100_000
 
 
 class Alphabet:
-    """Symbols of code points, by frequency in the references."""
+    """Symbols of code points: 0 for the space, 1 for letters that no reference has, then the others by frequency."""
 
     def __init__(self, references: dict[str, str]):
         counts: dict[str, int] = {}
@@ -43,12 +47,13 @@ class Alphabet:
             for ch in text.lower():
                 if ch.isalpha():
                     counts[ch] = counts.get(ch, 0) + 1
-        self.table = np.zeros(0x110000, dtype=np.uint8)
+        self.table = np.zeros(0x110000, dtype=np.int32)
         for i in range(0x110000):
             if chr(i).isalpha():
-                self.table[i] = SYMBOLS - 1
-        for s, ch in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[: SYMBOLS - 2]):
-            self.table[ord(ch)] = s + 1
+                self.table[i] = 1
+        for s, ch in enumerate(sorted(counts, key=lambda c: (-counts[c], c))):
+            self.table[ord(ch)] = s + 2
+        self.size = len(counts) + 2
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols of all texts with runs of spaces as one, offsets per text)."""
@@ -63,8 +68,8 @@ class Alphabet:
         return codes[keep], np.append(run[starts], run[-1])
 
 
-def automaton(symbols: np.ndarray) -> np.ndarray:
-    """Transitions of the suffix automaton, states x SYMBOLS; 0, the initial state, means none."""
+def automaton(symbols: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(states, from, symbol, to) of the transitions of the suffix automaton, by state and symbol; 0 is the initial state."""
     go: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -91,22 +96,46 @@ def automaton(symbols: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    table = np.zeros((len(go), SYMBOLS), dtype=np.int32)
-    for s, edges in enumerate(go):
-        for c, t in edges.items():
-            table[s, c] = t
-    return table
+    flat = np.array([(s, c, edges[c]) for s, edges in enumerate(go) for c in sorted(edges)], dtype=np.int32).reshape(-1, 3)
+    return len(go), flat[:, 0].copy(), flat[:, 1].copy(), flat[:, 2].copy()
+
+
+class Moves:
+    """Steps of one automaton over the symbols of its own reference; column 0 is for all others. A step to 0 means none."""
+
+    def __init__(self, parts: tuple[int, np.ndarray, np.ndarray, np.ndarray], size: int):
+        self.states, source, symbol, self.to = parts
+        own = np.unique(symbol)
+        self.width = len(own) + 1
+        self.column = np.zeros(size, dtype=np.int32)
+        self.column[own] = np.arange(1, self.width)
+        self.keys = source.astype(np.int64) * self.width + self.column[symbol]  # rising, as symbols and columns rise together
+        self.table = None
+
+    def fill(self) -> None:
+        self.table = np.zeros(self.states * self.width, dtype=np.int32)
+        self.table[self.keys] = self.to
+
+    def step(self, s: np.ndarray, c: np.ndarray) -> np.ndarray:
+        key = s.astype(np.int64) * self.width + c
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], 0)
 
 
 class Parser:
     def __init__(self, references: dict[str, str]):
         self.languages = sorted(references)
         self.alphabet = Alphabet(references) if references else None
-        self.tables, self.costs = [], []
+        self.moves, self.costs = [], []
         for lang in self.languages:
             symbols, _ = self.alphabet.encode([references[lang]])
-            self.tables.append(automaton(symbols).ravel())
+            self.moves.append(Moves(automaton(symbols), self.alphabet.size))
             self.costs.append(math.log(len(symbols) + 1))
+        if sum(m.states * m.width for m in self.moves) <= DENSE:
+            for m in self.moves:
+                m.fill()
 
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases per text and language."""
@@ -119,18 +148,19 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         doc, start, size = doc[order], start[order], size[order]
         active = np.searchsorted(-size, -np.arange(LANE), side="left")  # lanes longer than t
-        out = np.zeros((len(n), len(self.tables)))
-        for j, table in enumerate(self.tables):
-            root = table[:SYMBOLS]
+        out = np.zeros((len(n), len(self.moves)))
+        for j, moves in enumerate(self.moves):
+            own = moves.column[symbols]
+            root = moves.step(np.zeros(moves.width, dtype=np.int32), np.arange(moves.width))
             state = np.zeros(len(doc), dtype=np.int32)
             count = np.zeros(len(doc), dtype=np.int32)
             for t in range(LANE):
                 a = active[t]
                 if not a:
                     break
-                c = symbols[start[:a] + t]
+                c = own[start[:a] + t]
                 s = state[:a]
-                to = table[(s << 6) | c]
+                to = moves.step(s, c)
                 miss = to == 0
                 count[:a] += miss & (s > 0)  # a phrase ends here
                 np.copyto(to, root[c], where=miss)
@@ -158,16 +188,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", hold_out[0]) != hold_out[1]))
     narrow = rows.select("doc_id", "lang")
-    top = [r["lang"] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = narrow.filter(F.col("lang").isin(top)).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= docs_per_language)
-    # at most LANGUAGES * docs_per_language ids, and then as many beginnings of texts
-    got = rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text"))
-    size = max(4_000, min(20_000, 200_000 // max(1, len(top))))
+    chosen = narrow.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= docs_per_language).select("doc_id", "lang").distinct()
+    # docs_per_language beginnings of texts a language, cut to its reference before they reach the driver
+    if narrow.select("lang").distinct().count() * docs_per_language <= SMALL:
+        chosen = F.broadcast(chosen)
+    got = rows.select("lang", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text")).join(chosen, ["doc_id", "lang"])
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    got = got.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     out: dict[str, str] = {}
-    for r in got.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").limit(LANGUAGES * docs_per_language).collect():
-        if len(out.get(r["lang"], "")) < size:
-            out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:size]
+    for r in got.filter((F.col("n") <= docs_per_language) & (F.coalesce("before", F.lit(0)) < REFERENCE)).orderBy("lang", "n").collect():
+        out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:REFERENCE]
     return {lang: text for lang, text in out.items() if any(map(str.isalpha, text))}
 
 

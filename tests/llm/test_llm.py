@@ -421,6 +421,33 @@ def test_language_id(spark, docs, none):
     assert language_id.fit(none) == {} and {x["lang_pred"] for x in language_id.predict(d, {}).collect()} == {"und"}
 
 
+def test_languages_of_many_scripts_and_beyond_the_most_frequent(spark):
+    r = random.Random(3)
+    word = lambda first, n: "".join(chr(first + r.randrange(n)) for _ in range(r.randrange(2, 6)))
+    # many frequent languages over Latin, and rare ones with large alphabets, two to a script
+    words = {f"l{i:02}": [word(97, 26) for _ in range(20)] for i in range(70)}
+    words |= {f"{s}{i}": [word(first, n) for _ in range(60)] for s, first, n in (("zh", 0x4E00, 3000), ("ko", 0xAC00, 2000), ("th", 0x0E01, 46), ("ja", 0x3041, 80)) for i in range(2)}
+    data = [(lang, " ".join(r.choice(some) for _ in range(25))) for lang, some in words.items() for _ in range(16 if lang[0] == "l" else 12)]
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(data)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = language_id.fit(d)
+    assert set(refs) == set(words)
+    got = {x["doc_id"]: x for x in language_id.predict(d, refs).collect()}
+    right = [got[i]["lang_pred"] == lang for i, _, lang in rows if got[i]["held_out"]]
+    print(f"held out: {sum(right)} of {len(right)}")
+    assert np.mean(right) > 0.98
+
+
+def test_sorted_transitions_equal_dense_ones(monkeypatch):
+    refs = {"x": "abracadabra banana", "y": "ba na na 天地玄黄 宇宙洪荒"}
+    dense = language_id.Parser(refs)
+    monkeypatch.setattr(language_id, "DENSE", 0, raising=False)
+    other = language_id.Parser(refs)
+    at = dense.alphabet.encode(["abra 天地 banana", "zz 黄宇", "", "q"])
+    assert dense.moves[0].table is not None and other.moves[0].table is None
+    assert (dense.phrases(*at) == other.phrases(*at)).all()
+
+
 # 8
 def test_license_spans(spark, docs, none):
     texts = ["x y\nLicensed under the Apache License, Version 2.0. more", "released UNDER the mit license", "Licensed under the terrible Apache License Version 2.0!", "the license of a work", None, "", " lead This work is licensed under the GNU General Public License, version 3."]

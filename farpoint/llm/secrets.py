@@ -39,7 +39,7 @@ CONTEXT = re.compile(
 MAY_ASSIGN = r"""(?i)(?:passwo?r?d|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
 MAY_ACCESS = r"AKIA[A-Z0-9]{14}"
 MAY_HEX = r"[0-9a-f]{16}"
-MAY_CONTEXT = r"""(?i)(?:pass|pwd|pin|secret|token|key|auth|credential)[a-z]*["']?[\x20\t]*(?:[:=]|is\b)[\x20\t=>]*["']?[!#-&(-~]{6}"""
+MAY_CONTEXT = r"""(?i)(?:pass|pwd|pin|secret|token|key|auth|credential)[a-z]*["']?[\x20\t]*(?:[:=]{1,2}>?|is\b)[\x20\t]*["']?[!#-&(-~]{6}"""
 
 # Words that guessers try first, in order of rank.
 COMMON = (

@@ -106,6 +106,13 @@ def test_values_of_one_kind_are_judged_by_cost_but_after_is(text, value):
     assert secrets.scan(text) == ([("guess", at, at + len(value))] if value else [])
 
 
+def test_the_first_filter_passes_every_text_with_a_span():
+    texts = [f"{word}{quote}{gap}{sign}{gap}{quote}Xk9$wq!Zr7" for word in ("pwd", "Passphrase", "api-key", "credentials") for quote in ("", '"') for gap in ("", " ", "\t") for sign in (":", "=", "::", "=:", ":=", "==", "=>", "::>", " is ")]
+    held = secrets.may_hold(pa.array(texts))
+    found = [bool(secrets.scan(x)) for x in texts]
+    assert sum(found) > 150 and all(h for h, f in zip(held, found, strict=True) if f)
+
+
 def test_secret_digest(spark, tmp_path, rows):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     for r in registry.op1_secrets(spark, str(tmp_path)).collect():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 
 import numpy as np
@@ -29,9 +28,9 @@ class LocalOutlierProbability:
         self.use_numba, self.n_jobs, self.progress_bar = False, n_jobs, progress_bar
         self.is_fit, self.model = False, None
         if use_numba:
-            self._warn("Numba is not used, Spark runs the tasks.")
+            self._warn("use_numba has no effect here")
         if n_jobs < -1 or n_jobs == 0:
-            self._warn("n_jobs must be -1 or a positive integer. Defaulting to 1.")
+            self._warn("n_jobs is neither -1 nor positive; 1 is used")
             self.n_jobs = 1
         self._valid = self._validate()
         check_extent(extent)
@@ -42,19 +41,19 @@ class LocalOutlierProbability:
 
     def _validate(self) -> bool:
         if self.data is None and self.distance_matrix is None:
-            self._warn("Data or a distance matrix must be provided.")
+            self._warn("neither data nor a distance matrix was given")
         elif self.data is not None and self.distance_matrix is not None:
-            self._warn("Only one of the following may be provided: data or a distance matrix (not both).")
+            self._warn("data and a distance matrix were both given; give one")
         elif self.data is not None:
             return True
         elif self.neighbor_matrix is None:
-            self._warn("A neighbor index matrix and distance matrix must both be provided when not using raw input data.")
+            self._warn("a distance matrix needs its neighbour matrix")
         else:
             shapes = [(len(m), len(m[0]) if len(m) else 0) for m in (rows_of(self.distance_matrix), rows_of(self.neighbor_matrix))]
             if shapes[0] != shapes[1]:
-                self._warn("The shape of the distance and neighbor index matrices must match.")
+                self._warn("distance and neighbour matrix differ in shape")
             elif shapes[0][1] != self.n_neighbors:
-                self._warn("The shape of the distance or neighbor index matrix does not match the number of neighbors specified.")
+                self._warn("the matrices have another number of columns than n_neighbors")
             else:
                 return True
         return False
@@ -64,7 +63,7 @@ class LocalOutlierProbability:
             raise ValidationError("the inputs given cannot be fit")
         with warnings.catch_warnings():
             if self.extent not in (1, 2, 3):  # said already on construction
-                warnings.filterwarnings("ignore", message="extent parameter")
+                warnings.filterwarnings("ignore", message="extent is meant")
             if self.data is not None:
                 points = points_from(self.spark, self.data, self.cluster_labels)
                 names = [c for c in points.columns if c not in ("id", "cluster")]
@@ -77,7 +76,7 @@ class LocalOutlierProbability:
         self.local_outlier_probabilities = [r["score"] for r in rows]
         self.prob_distances = [r["pdist"] for r in rows]
         self.prob_distances_ev = [r["ev"] for r in rows]
-        self.norm_prob_local_outlier_factor = max((r["nplof"] for r in rows if not math.isnan(r["nplof"])), default=float("nan"))
+        self.norm_prob_local_outlier_factor = self.model.stats[1]
         self.is_fit = True
         return self
 
@@ -89,9 +88,9 @@ class LocalOutlierProbability:
         """
         clustered = self.cluster_labels is not None and len(set(self.cluster_labels)) > 1
         if clustered:
-            self._warn("Stream approach does not support clustered data. Automatically refit using single cluster of points.")
+            self._warn("the fit was in clusters; a new row is scored against all of them together")
         if not self.is_fit:
-            self._warn("Must fit on historical data by calling fit() prior to calling stream(x).")
+            self._warn("stream before fit: fitting first")
         if not self.is_fit or clustered and refit:
             labels, self.cluster_labels = self.cluster_labels, None if clustered else self.cluster_labels
             try:

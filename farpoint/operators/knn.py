@@ -8,7 +8,8 @@ Order is total: by squared distance, then by neighbour id. Two exact strategies:
 ``block``  rows are dealt by a space-filling key into blocks of bounded size. Each block finds
            the neighbours among its own rows, which bounds every row's k-th distance; a block
            then visits only those blocks whose bounding box can hold something nearer. A hot
-           cluster is many blocks, never one task; a task holds two blocks at a time.
+           cluster is many blocks, never one task; a task holds two blocks at a time. Pairs of
+           blocks are found from the top of a tree of boxes down, by equi-joins on the parents.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ SQL_PAIRS = 5_000_000
 WIDE_FEATURES = 16
 #: Rows of a block; block_pairs holds two blocks and a matrix of BLOCK x BLOCK doubles.
 BLOCK = 1024
-#: Block descriptions up to this number are broadcast (about 100 bytes and 16 a feature each).
-META_ROWS = 50_000
-PACKED = "block long, cluster string, n int, ids array<long>, xs array<double>, lo array<double>, hi array<double>"
-EDGES = "id long, cluster string, nid long, d2 double"
+#: Boxes under one box of the tree.
+FAN = 32
+PACKED = "block long, cluster string, n int, ids array<{id}>, xs array<double>, lo array<double>, hi array<double>"
+EDGES = "id {id}, cluster string, nid {id}, d2 double"
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -73,7 +74,8 @@ def smallest(d2: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray | None =
     if limit is not None:
         kth = np.minimum(kth, limit)
     row, col = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
-    order = np.lexsort((ids[col], d2[row, col], row))
+    place = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+    order = np.lexsort((place[col], d2[row, col], row))
     row, col = row[order], col[order]
     start = np.searchsorted(row, row)
     keep = np.arange(len(row)) - start < k
@@ -144,6 +146,44 @@ def _local(k: int):
     return run
 
 
+def _gap(lo: str, hi: str, olo: str, ohi: str):
+    """Squared distance of two boxes; a hair's breadth less, as boxes and kernel round differently."""
+    return F.expr(
+        f"aggregate(transform({lo}, (l, i) -> greatest(l - {ohi}[i], {olo}[i] - {hi}[i], 0D)), 0D, (s, g) -> s + g * g)"
+    ) * (1 - 1e-12)
+
+
+def _close(boxes: DataFrame, parts: int, width: int) -> DataFrame:
+    """(block, other): blocks of a cluster whose boxes are within the first one's reach.
+
+    boxes: block, cluster, lo, hi, reach. Blocks of one partition are neighbours in space, and so are
+    FAN partitions in a row, and so on: boxes of each level hold those of the next. Two boxes are only
+    looked at where their parents are within reach.
+    """
+    from functools import reduce
+
+    levels = 1
+    while FAN**levels < parts:
+        levels += 1
+    part = F.shiftright("block", 33)
+    tables = [boxes.withColumns({"key": F.col("block"), "up": part})]
+    for level in range(1, levels + 2):
+        above, key = tables[-1], F.col("up")
+        low = [F.min(F.col("lo")[i]) for i in range(width)]
+        high = [F.max(F.col("hi")[i]) for i in range(width)]
+        grouped = above.groupBy("cluster", key.alias("key")).agg(F.array(*low).alias("lo"), F.array(*high).alias("hi"), F.max("reach").alias("reach"))
+        tables.append(grouped.withColumn("up", F.floor(F.col("key") / FAN)))
+    columns = lambda t, side: t.select(*[F.col(c).alias(f"{side}_{c}") for c in ("cluster", "key", "up", "lo", "hi", "reach")])
+
+    def descend(pairs: DataFrame, t: DataFrame) -> DataFrame:
+        a = pairs.join(columns(t, "a"), (F.col("cluster") == F.col("a_cluster")) & (F.col("x") == F.col("a_up")))
+        both = a.join(columns(t, "b"), (F.col("cluster") == F.col("b_cluster")) & (F.col("y") == F.col("b_up")))
+        return both.filter(_gap("a_lo", "a_hi", "b_lo", "b_hi") <= F.col("a_reach")).select("cluster", F.col("a_key").alias("x"), F.col("b_key").alias("y"))
+
+    top = tables[-1].select("cluster", F.col("key").alias("x"), F.col("key").alias("y"))  # one box a cluster
+    return reduce(descend, tables[-2::-1], top).select(F.col("x").alias("block"), F.col("y").alias("other"))
+
+
 def _pair_edges(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -160,26 +200,21 @@ def _pair_edges(k: int):
 
 
 def block_edges(points: DataFrame, k: int, rows: int, block: int = BLOCK) -> DataFrame:
-    """Exact Euclidean neighbours by pruned block pairs."""
+    """Exact Euclidean neighbours by pruned block pairs. Ids and clusters keep their types."""
     feats = feature_names(points)
     parts = max(2, min(rows // (4 * block) + 1, 20_000))
-    kind = dict(points.dtypes)["cluster"]
+    kinds = dict(points.dtypes)
+    inner = "long" if kinds["id"] in ("tinyint", "smallint", "int", "bigint") else kinds["id"]
+    packed_kind, edge_kind = PACKED.format(id=inner), EDGES.format(id=inner)
     keyed = _spatial_key(points.withColumn("cluster", F.col("cluster").cast("string")), feats)
     dealt = keyed.repartitionByRange(parts, "cluster", "_key", "id").sortWithinPartitions("cluster", "_key", "id")
-    packed = dealt.select("id", "cluster", *feats).mapInPandas(_pack(feats, block), PACKED)
-    blocks = packed.mapInPandas(_local(k), PACKED + ", kth array<double>, reach double").persist()
-    meta = blocks.select("block", "cluster", "lo", "hi", "reach")
-    other = meta.select(F.col("block").alias("other"), F.col("cluster").alias("oc"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    if rows / block < META_ROWS:
-        other = F.broadcast(other)
-    gap = F.expr(
-        "aggregate(transform(lo, (l, i) -> greatest(l - ohi[i], olo[i] - hi[i], 0D)), 0D, (s, g) -> s + g * g)"
-    )
-    # a hair's breadth of slack: the box gap and the kernel round differently
-    pairs = meta.repartition(max(parts, 8), "block").join(other, (F.col("cluster") == F.col("oc")) & (gap * (1 - 1e-12) <= F.col("reach"))).select("block", "other")
+    packed = dealt.select(F.col("id").cast(inner).alias("id"), "cluster", *feats).mapInPandas(_pack(feats, block), packed_kind)
+    blocks = packed.mapInPandas(_local(k), packed_kind + ", kth array<double>, reach double").persist()
+    pairs = _close(blocks.select("block", "cluster", "lo", "hi", "reach"), parts, len(feats))
     right = blocks.select(F.col("block").alias("other"), F.col("n").alias("m"), F.col("ids").alias("nids"), F.col("xs").alias("ys"))
     work = pairs.join(blocks.select("block", "cluster", "n", "ids", "xs", "kth"), "block").join(right, "other")
-    return top_k(work.mapInPandas(_pair_edges(k), EDGES), k).withColumn("cluster", F.col("cluster").cast(kind))
+    best = top_k(work.mapInPandas(_pair_edges(k), edge_kind), k)
+    return best.withColumns({"cluster": F.col("cluster").cast(kinds["cluster"]), "id": F.col("id").cast(kinds["id"]), "nid": F.col("nid").cast(kinds["id"])})
 
 
 def knn_edges(points: DataFrame, k: int, pairs: int, rows: int, strategy: str = "auto", metric: str = "euclidean") -> DataFrame:

@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Clusters up to this number have their statistics broadcast.
+FEW = 100_000
+#: Ranges of scores that a rank sum is taken in.
+RANGES = 256
+
 
 def above(scored: DataFrame, threshold: float) -> DataFrame:
     """Rows whose score is over the threshold; NaN never is."""
@@ -23,11 +28,17 @@ def attach(df: DataFrame, scored: DataFrame, id_col: str) -> DataFrame:
     return df.join(scored.select(F.col("id").alias(id_col), "score"), id_col, "left")
 
 
-def zscore(c: str, by: str) -> Column:
-    """(x - mean) / population deviation within a cluster; 0 where all are equal."""
-    w = Window.partitionBy(by)
-    sd = F.stddev_pop(c).over(w)
-    return F.when(sd == 0, 0.0).otherwise((F.col(c) - F.avg(c).over(w)) / F.when(sd == 0, 1.0).otherwise(sd))
+def zscores(df: DataFrame, columns: list[str], by: str, groups: int | None = None) -> DataFrame:
+    """df with (x - mean) / population deviation within a cluster in place of each column; 0 where all are equal.
+
+    Two moments per cluster are joined back; no task holds a cluster. ``groups``, where known, decides
+    whether they are broadcast.
+    """
+    moments = [f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("d", F.stddev_pop))]
+    per = df.groupBy(F.col(by).alias("_by")).agg(*moments)
+    out = df.join(F.broadcast(per) if groups is not None and groups <= FEW else per, F.col(by).eqNullSafe(F.col("_by")))
+    score = lambda i, c: F.when(F.col(f"_d{i}") == 0, 0.0).otherwise((F.col(c) - F.col(f"_m{i}")) / F.when(F.col(f"_d{i}") == 0, 1.0).otherwise(F.col(f"_d{i}")))
+    return out.withColumns({c: score(i, c) for i, c in enumerate(columns)}).select(df.columns)
 
 
 def rmse(a: str, b: str) -> Column:
@@ -36,13 +47,24 @@ def rmse(a: str, b: str) -> Column:
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row ``auc`` by rank sum. Counts per distinct score come first, so no window spans the rows."""
-    per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    run = per.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    """One row ``auc`` by rank sum. Scores are counted by value and ranked within ranges of scores.
+
+    Ranges are cut at quantiles, and the totals of the ranges before, one number each, are added.
+    """
+    per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).persist()
+    cuts = sorted({c for c in per.approxQuantile("s", [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES)) if not math.isnan(c)})
+    inside = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("s"))) if cuts else F.lit(0)
+    ranged = per.withColumn("range", inside)
+    totals = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect()}  # at most RANGES rows
+    before, total = [], 0
+    for i in range(len(cuts) + 1):
+        before.append(total)
+        total += totals.get(i, 0)
+    w = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(w), F.lit(0)) + F.get(F.array(*map(F.lit, before)), F.greatest("range", F.lit(0)))
     u = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0))
     pairs = F.sum("p") * F.sum("n")
-    return run.agg(F.when(pairs > 0, u / F.when(pairs > 0, pairs).otherwise(1)).alias("auc"))
+    return ranged.withColumn("below", below).agg(F.when(pairs > 0, u / F.when(pairs > 0, pairs).otherwise(1)).alias("auc"))
 
 
 def suggested_neighbours(rows: int) -> int:
@@ -51,6 +73,12 @@ def suggested_neighbours(rows: int) -> int:
     return k if k % 2 else k + 1
 
 
+def without_self(edges: DataFrame, k: int) -> DataFrame:
+    """Brought edges (id, rank, nid, dist, ...) without each row's edge to itself; the k nearest of the rest, ranked anew."""
+    w = Window.partitionBy("id").orderBy("rank")
+    return edges.filter("id <> nid").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farpoint.functions.erf import erf_column
+from farpoint.operators.recipes import FEW
 
 WIDE = ["id", "cluster", "ssd", "std_dist", "pdist", "ev", "plof", "plof_ev", "nplof", "score"]
 
@@ -63,10 +64,14 @@ def outlier_factor(base: DataFrame) -> DataFrame:
     return base.crossJoin(F.broadcast(guard)).withColumn("plof", plof).drop("_level")
 
 
-def normaliser(plofs: DataFrame, extent: int) -> DataFrame:
-    """Adds plof_ev, the cluster's mean plof squared, and nplof = extent * sqrt(plof_ev)."""
+def normaliser(plofs: DataFrame, extent: int, clusters: int | None = None) -> DataFrame:
+    """Adds plof_ev, the cluster's mean plof squared, and nplof = extent * sqrt(plof_ev).
+
+    Statistics of at most FEW clusters, where their number is known, are broadcast: a cluster may hold most rows.
+    """
     square = F.col("plof") * F.col("plof")
     per = plofs.groupBy("cluster").agg(mean_of_numbers(square).alias("plof_ev"))
+    per = F.broadcast(per) if clusters is not None and clusters <= FEW else per
     return plofs.join(per, "cluster").withColumn("nplof", F.lit(float(extent)) * F.sqrt("plof_ev"))
 
 
@@ -87,12 +92,20 @@ def outlier_probability(normed: DataFrame) -> DataFrame:
     return y.withColumn("score", F.when(F.col("_level"), 0.0).otherwise(erf_column("_y"))).drop("_level", "_y")
 
 
-def score_edges(edges: DataFrame, k: int, extent: int = 3) -> DataFrame:
-    """All stages; the columns of WIDE. ``edges`` is kept, as two stages read it."""
+def score_edges(edges: DataFrame, k: int, extent: int = 3, clusters: int | None = None) -> DataFrame:
+    """All stages; the columns of WIDE. Edges and distances are kept, as two stages read them; see release."""
     edges = edges.persist()
     pd = probabilistic_distance(standard_distance(sum_squared(edges), k), extent)
     base = expected_distance(edges, pd).persist()
-    return outlier_probability(normaliser(outlier_factor(base), extent)).select(WIDE)
+    out = outlier_probability(normaliser(outlier_factor(base), extent, clusters)).select(WIDE)
+    out._kept = [edges, base]
+    return out
+
+
+def release(scored: DataFrame) -> None:
+    """Frees what score_edges keeps; the scores can still be computed, anew."""
+    for df in getattr(scored, "_kept", []):
+        df.unpersist()
 
 
 def score_extents(edges: DataFrame, k: int, extents: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

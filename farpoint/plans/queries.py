@@ -33,7 +33,8 @@ def suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
     t = read_table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").cast("double").alias("p"))
-    return to_points(t.select("p_partkey", "p_brand", recipes.zscore("s", "p_brand").alias("zs"), recipes.zscore("p", "p_brand").alias("zp")), "p_partkey", ["zs", "zp"], "p_brand")
+    z = recipes.zscores(t, ["s", "p"], "p_brand")
+    return to_points(z, "p_partkey", ["s", "p"], "p_brand")
 
 
 def raw_parts(spark: SparkSession, d: str) -> DataFrame:

@@ -19,15 +19,17 @@ from farpoint.operators.scoring import probability
 BROADCAST_BYTES = 64 << 20
 #: A distance is recorded only below this; a NaN one never is.
 FAR = 9e10
+#: Private name of a sum of squared distances; rows to be scored may have any columns.
+SSD = "_fp_ssd"
 
 
 def finish(ssd: DataFrame, k: int, extent: int, mean_ev: float, max_nplof: float) -> DataFrame:
-    """Adds score to rows that hold ssd, the sum of their k smallest squared distances."""
+    """Adds score to rows that hold SSD, the sum of their k smallest squared distances. A column called score is replaced."""
     ev = mean_ev if mean_ev != 0 else 1e-8
-    pdist = float(extent) * F.sqrt(F.col("ssd") / float(k))
+    pdist = float(extent) * F.sqrt(F.col(SSD) / float(k))
     plof = F.when(pdist == mean_ev, 0.0).otherwise(pdist / ev - 1.0)
-    y = ssd.withColumn("_plof", plof).withColumn("_y", probability(F.col("_plof"), F.lit(float(max_nplof))))
-    return y.withColumn("score", F.when(F.col("_plof") == max_nplof, 0.0).otherwise(erf_column("_y"))).drop("_plof", "_y", "ssd")
+    y = ssd.withColumn("_fp_plof", plof).withColumn("_fp_y", probability(F.col("_fp_plof"), F.lit(float(max_nplof))))
+    return y.withColumn("score", F.when(F.col("_fp_plof") == max_nplof, 0.0).otherwise(erf_column("_fp_y"))).drop("_fp_plof", "_fp_y", SSD)
 
 
 def capped(d2: np.ndarray) -> np.ndarray:
@@ -53,10 +55,10 @@ def score_by_broadcast(df: DataFrame, features: list[str], matrix: np.ndarray, k
             x = f[features].to_numpy(dtype=float)
             step = max(1, 4_000_000 // max(1, len(shared.value)))
             ssd = [kth_sum(squared_distances(x[i : i + step], shared.value), k) for i in range(0, len(x), step)]
-            yield f.assign(ssd=np.concatenate(ssd) if ssd else np.zeros(0))
+            yield f.assign(**{SSD: np.concatenate(ssd) if ssd else np.zeros(0)})
 
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return finish(df.mapInPandas(run, cols + ", ssd double"), k, extent, mean_ev, max_nplof)
+    return finish(df.mapInPandas(run, f"{cols}, {SSD} double"), k, extent, mean_ev, max_nplof)
 
 
 def score_by_blocks(df: DataFrame, id_col: str, features: list[str], points: DataFrame, feats: list[str], k: int, extent: int, mean_ev: float, max_nplof: float, block: int = 1024) -> DataFrame:
@@ -80,14 +82,14 @@ def score_by_blocks(df: DataFrame, id_col: str, features: list[str], points: Dat
 
     near = pairs.select("q_rows", "p_rows").mapInPandas(run, "id long, d2 double")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d2"))).filter(F.col("r") <= k)
-    ssd = best.groupBy("id").agg((F.sum("d2") + (k - F.count(F.lit(1))) * (FAR * FAR)).alias("ssd"))
+    ssd = best.groupBy("id").agg((F.sum("d2") + (k - F.count(F.lit(1))) * (FAR * FAR)).alias(SSD))
     return finish(ssd, k, extent, mean_ev, max_nplof)
 
 
 def score_distances(df: DataFrame, dist: str, k: int, extent: int, mean_ev: float, max_nplof: float) -> DataFrame:
     """Matrix mode: one distance per row stands for all k neighbours; no join."""
     d = F.least(F.nanvl(F.coalesce(F.col(dist).cast("double"), F.lit(FAR)), F.lit(FAR)), F.lit(FAR))
-    return finish(df.withColumn("ssd", d * d * float(k)), k, extent, mean_ev, max_nplof)
+    return finish(df.withColumn(SSD, d * d * float(k)), k, extent, mean_ev, max_nplof)
 
 
 def refit_each_batch(stream: DataFrame, estimator, on_model, checkpoint: str):

@@ -6,6 +6,7 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from farpoint import ClusterSizeError, LocalOutlierProbability, LoOP, LoOPModel, MissingValuesError, ValidationError
 from farpoint.functions.erf import erf_column
@@ -128,11 +129,11 @@ def test_errors_and_warnings(spark):
         LoOP(["a"], edges=True)
     with pytest.raises(ValidationError):
         to_points(spark.createDataFrame([(1, "x")], "id long, s string"), "id", ["s"])
-    with pytest.warns(UserWarning, match="less than the number of observations"):
+    with pytest.warns(UserWarning, match="not below the number of rows"):
         assert len(scores(spark, X8, 50)) == 8
-    with pytest.warns(UserWarning, match="greater than 0"):
+    with pytest.warns(UserWarning, match="not positive"):
         assert len(scores(spark, X20, 0)) == 20
-    with pytest.warns(UserWarning, match="extent parameter"):
+    with pytest.warns(UserWarning, match="extent is meant"):
         LoOP(["a"], extent=4)
 
 
@@ -167,11 +168,11 @@ def test_matrix_mode_skips_missing_distances(spark):
 
 
 def test_facade_warns(spark):
-    with pytest.warns(UserWarning, match="must be provided"):
+    with pytest.warns(UserWarning, match="neither data"):
         LocalOutlierProbability(spark=spark)
-    with pytest.warns(UserWarning, match="not both"):
+    with pytest.warns(UserWarning, match="both given"):
         LocalOutlierProbability(np.ones((3, 1)), distance_matrix=np.ones((3, 1)), spark=spark)
-    with pytest.warns(UserWarning, match="shape of the distance and neighbor"):
+    with pytest.warns(UserWarning, match="differ in shape"):
         LocalOutlierProbability(distance_matrix=np.ones((3, 2)), neighbor_matrix=np.ones((3, 1)), n_neighbors=2, spark=spark)
     with pytest.warns(UserWarning, match="n_jobs"):
         assert LocalOutlierProbability(np.ones((3, 1)), n_jobs=0, spark=spark).n_jobs == 1
@@ -206,10 +207,10 @@ def test_stream_scores(spark):
 
 def test_stream_warns_before_fit_and_on_clusters(spark):
     m = LocalOutlierProbability(np.array(X8, dtype=float), n_neighbors=3, spark=spark)
-    with pytest.warns(UserWarning, match="Must fit"):
+    with pytest.warns(UserWarning, match="fitting first"):
         assert 0 <= m.stream(np.array([0.0, 0.0])) <= 1
     c = LocalOutlierProbability(np.array(X8 + X8, dtype=float), n_neighbors=3, cluster_labels=[0] * 8 + [1] * 8, spark=spark).fit()
-    with pytest.warns(UserWarning, match="clustered"):
+    with pytest.warns(UserWarning, match="in clusters"):
         c.stream(np.array([0.0, 0.0]))
 
 
@@ -260,3 +261,80 @@ def test_recipes(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert df.filter("id <> 2").agg(recipes.rmse("score", "b").alias("r")).first()["r"] == pytest.approx(math.sqrt(0.16 / 2))
+
+
+def test_block_strategy_keeps_string_ids_and_equals_sql_over_many_blocks(spark):
+    r = random.Random(5)
+    rows = [(f"id{i:04}", float(r.gauss(0, 3)), float(r.gauss(i % 3, 1)), "ab"[i % 7 == 0]) for i in range(900)]
+    rows += [(f"dup{i}", 0.5, 0.5, "a") for i in range(20)]
+    points = to_points(spark.createDataFrame(rows, "id string, x double, y double, c string"), "id", ["x", "y"], "c")
+    want = {tuple(x) for x in knn.sql_edges(points, 4).select("id", "rank", "nid").collect()}
+    for block in (16, 1024):
+        got = knn.block_edges(points, 4, len(rows), block=block)
+        assert dict(got.dtypes)["id"] == "string" and {tuple(x) for x in got.select("id", "rank", "nid").collect()} == want
+    ints = to_points(spark.createDataFrame([(i, float(i * i)) for i in range(50)], "id int, x double"), "id", ["x"])
+    assert dict(knn.block_edges(ints, 3, 50).dtypes)["nid"] == "int"
+
+
+def test_block_pairs_are_few_and_without_a_product(spark):
+    points = to_points(spark.range(20_000).select("id", (F.col("id") * 1.0).alias("x")), "id", ["x"])
+    seen = []
+    close = knn._close
+    knn._close, kept = (lambda *a: seen.append(close(*a)) or seen[-1]), close
+    try:
+        assert knn.block_edges(points, 3, 20_000, block=64).count() == 60_000
+    finally:
+        knn._close = kept
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert seen[0].count() <= 4 * 20_000 / 64
+
+
+def test_auc_and_zscores_hold_no_group_in_one_window(spark):
+    r = random.Random(2)
+    rows = [(r.choice([0.1, 0.2, r.random()]), int(r.random() < 0.3), "ab"[i % 2]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "s double, y int, c string")
+    pos, neg = [s for s, y, _ in rows if y], [s for s, y, _ in rows if not y]
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
+    assert abs(recipes.roc_auc(df, "s", "y").first()["auc"] - want) < 1e-9
+    assert recipes.roc_auc(df.limit(0), "s", "y").first()["auc"] is None
+    z = recipes.zscores(df, ["s"], "c")
+    plan = z._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and abs(z.filter("c = 'a'").agg(F.avg("s")).first()[0]) < 1e-9
+
+
+def test_labels_of_matrix_mode_keep_their_values(spark):
+    from farpoint.sources import edges_from
+
+    d, n = np.array([[1.0], [1.0], [2.0], [2.0]]), np.array([[1], [0], [3], [2]])
+    for labels in ([0.5, 0.5, 0.9, 0.9], ["a", "a", "b", "b"], np.array([1, 1, 2, 2])):
+        got = edges_from(spark, d, n, labels).orderBy("id").collect()
+        assert [r["cluster"] for r in got] == list(labels)
+
+
+def test_rows_to_score_may_have_any_columns(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(30)], "id long, x double")
+    model = LoOP(["x"], "id", n_neighbors=3).fit(df)
+    got = model.transform(df.limit(3).select("*", F.lit(1).alias("ssd"), F.lit("s").alias("score"), F.lit(2).alias("_y")))
+    assert got.columns.count("score") == 1 and all(0 <= r["score"] <= 1 and r["ssd"] == 1 for r in got.collect())
+    model.release()
+    clustered = LoOP(["x"], "id", "c", n_neighbors=3).fit(df.withColumn("c", F.col("id") % 2))
+    with pytest.warns(UserWarning, match="in clusters"):
+        clustered.transform(df.limit(1))
+
+
+def test_params_ids_and_arrays(spark):
+    est = LoOP(["x"], "id", n_neighbors=3)
+    assert est.copy({est.nNeighbors: 5}).n_neighbors == 5 and est.n_neighbors == 3
+    with pytest.raises(ValidationError):
+        LoOP(["x"], n_neighbors="5")
+    with pytest.raises(ValidationError):
+        est.fit(spark.createDataFrame([(None if i == 2 else i, float(i)) for i in range(9)], "id long, x double"))
+    ragged = spark.createDataFrame([(i, [1.0 * i] * (1 + (i == 7))) for i in range(9)], "id long, x array<double>")
+    with pytest.raises(MissingValuesError):
+        est.fit(ragged)
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 9, 1.0)], "id long, nid long, dist double")
+    with pytest.raises(ValidationError):
+        LoOP(edges=True, n_neighbors=1).fit(edges)
+    with_self = spark.createDataFrame([(0, 1, 0, 0.0), (0, 2, 1, 1.0), (1, 1, 0, 1.0), (1, 2, 2, 3.0)], "id long, rank int, nid long, dist double")
+    assert sorted(map(tuple, recipes.without_self(with_self, 1).select("id", "rank", "nid").collect())) == [(0, 1, 1), (1, 1, 0)]

@@ -5,10 +5,12 @@ into the longest matches that the automaton allows; phrases, normalised by text
 reference size, estimate the cross entropy, and the language with the least wins (ties: by name).
 
 Texts are lower-cased; all but letters become one space. Parsing runs in lock-step over lanes of
-``LANE`` characters, one array step per character, so each lane starts a phrase of its own.
-Every letter of the references has a symbol of its own. Every language is learned, from the first
-``DOC_CHARS`` characters of its documents with the smallest hash, at most ``DOCS`` of them, until
-``REFERENCE`` characters are full.
+``LANE`` characters, one array step per character. A lane is first parsed as if a phrase began with
+it, and then anew from the phrase that reaches into it, until the two parses begin a phrase at the same
+place; so phrases are those of one parse of the whole text. Every letter of the references has a
+symbol of its own. Every language is learned, from the documents with the smallest hash, at most
+``DOCS`` of them, until ``REFERENCE`` characters are reached; of a text of more than ``PIECE``
+characters a piece of that length at a place by its hash is taken.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything when
 nothing was learned; null languages do not train; repeated rows are predicted each; null ids stay
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import keep, pick, remainder, ship, slices, tidy
+from farpoint.llm.common import keep, pick, remainder, row_sums, ship, slices, tidy
 
 DOCS = 200
-DOC_CHARS = 1000
+PIECE = 4000
 #: Characters of a language's reference.
 REFERENCE = 20_000
 LANE = 256
@@ -124,6 +126,45 @@ class Moves:
         return np.where(self.keys[at] == key, self.to[at], 0)
 
 
+def begin(moves: Moves, own: np.ndarray, start: np.ndarray, size: np.ndarray, before: np.ndarray, order: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """1 where a phrase begins. A phrase ends before a symbol that cannot follow; one that the reference lacks is a phrase.
+
+    ``before`` is the lane that a lane goes on from, or -1.
+    """
+    root = moves.step(np.zeros(moves.width, dtype=np.int32), np.arange(moves.width))
+    begins = np.zeros(len(own), dtype=np.int8)
+
+    def step(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = own[at]
+        to = moves.step(s, c)
+        miss = to == 0
+        return np.where(miss, root[c], to), miss | (s == 0)
+
+    state = np.zeros(len(start), dtype=np.int32)
+    for t, a in enumerate(active.tolist()):
+        if not a:
+            break
+        state[:a], begins[start[order[:a]] + t] = step(state[:a], start[order[:a]] + t)
+    leaves = np.zeros(len(start), dtype=np.int32)
+    leaves[order] = state
+    entered = np.zeros(len(start), dtype=np.int32)
+    while True:
+        lanes = np.flatnonzero((before >= 0) & (leaves[before] != entered))
+        if not len(lanes):
+            return begins
+        s = entered[lanes] = leaves[before[lanes]]
+        t = 0
+        while len(lanes):
+            at = start[lanes] + t
+            s, new = step(s, at)
+            on = ~(new & (begins[at] > 0))  # where both parses begin a phrase, the rest of the lane is the same
+            begins[at[on]] = new[on]
+            lanes, s, t = lanes[on], s[on], t + 1
+            over = size[lanes] <= t
+            leaves[lanes[over]] = s[over]
+            lanes, s = lanes[~over], s[~over]
+
+
 class Parser:
     def __init__(self, references: dict[str, str]):
         self.languages = sorted(references)
@@ -145,29 +186,13 @@ class Parser:
         first = np.concatenate([[0], np.cumsum(per)])[:-1]
         start = offsets[:-1][doc] + (np.arange(len(doc)) - first[doc]) * LANE
         size = np.minimum(LANE, offsets[1:][doc] - start)
+        before = np.where(np.arange(len(doc)) > first[doc], np.arange(len(doc)) - 1, -1)
         order = np.argsort(-size, kind="stable")
-        doc, start, size = doc[order], start[order], size[order]
-        active = np.searchsorted(-size, -np.arange(LANE), side="left")  # lanes longer than t
+        active = np.searchsorted(-size[order], -np.arange(LANE), side="left")  # lanes longer than t
         out = np.zeros((len(n), len(self.moves)))
         for j, moves in enumerate(self.moves):
-            own = moves.column[symbols]
-            root = moves.step(np.zeros(moves.width, dtype=np.int32), np.arange(moves.width))
-            state = np.zeros(len(doc), dtype=np.int32)
-            count = np.zeros(len(doc), dtype=np.int32)
-            for t in range(LANE):
-                a = active[t]
-                if not a:
-                    break
-                c = own[start[:a] + t]
-                s = state[:a]
-                to = moves.step(s, c)
-                miss = to == 0
-                count[:a] += miss & (s > 0)  # a phrase ends here
-                np.copyto(to, root[c], where=miss)
-                count[:a] += to == 0  # a symbol the reference lacks is a phrase
-                state[:a] = to
-            # the last phrase of a lane ends with it
-            out[:, j] = np.bincount(doc, weights=count + (state > 0), minlength=len(n))
+            begins = begin(moves, moves.column[symbols], start, size, before, order, active)
+            out[:, j] = row_sums(begins, offsets)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -190,15 +215,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     narrow = rows.select("doc_id", "lang")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = narrow.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= docs_per_language).select("doc_id", "lang").distinct()
-    # docs_per_language beginnings of texts a language, cut to its reference before they reach the driver
+    # texts of a language up to the length of its reference, before they reach the driver
     if narrow.select("lang").distinct().count() * docs_per_language <= SMALL:
         chosen = F.broadcast(chosen)
-    got = rows.select("lang", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text")).join(chosen, ["doc_id", "lang"])
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.length("text") - PIECE + 1).cast("int") + 1
+    piece = F.when(F.length("text") > PIECE, F.substr("text", place, F.lit(PIECE))).otherwise(F.col("text"))
+    got = rows.select("lang", "doc_id", piece.alias("text")).join(chosen, ["doc_id", "lang"])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     got = got.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     out: dict[str, str] = {}
     for r in got.filter((F.col("n") <= docs_per_language) & (F.coalesce("before", F.lit(0)) < REFERENCE)).orderBy("lang", "n").collect():
-        out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:REFERENCE]
+        out[r["lang"]] = out.get(r["lang"], "") + " " + r["text"]
     return {lang: text for lang, text in out.items() if any(map(str.isalpha, text))}
 
 

@@ -2,9 +2,11 @@
 
 An item goes to the fill level that makes the sum, over levels, of the squared count of
 partly filled windows smallest; the counts stand in one level array. Full windows are emitted
-at once. Tasks pack their own partition, so nothing is shuffled and no task holds more than
-``open_windows`` windows; what is open at the end, or beyond that bound, is cut and joined into
-full windows, and the last rest into windows of power-of-two lengths, so that nothing is padded.
+at once. At most ``OPEN`` windows and one for every ``CLOSED`` full ones are open at a time: at
+that bound an item goes where it fits, or else its beginning closes the window whose going lowers
+the sum most, and the rest is placed in turn. Tasks pack their own partition, so nothing is
+shuffled. At its end the emptiest windows are placed into the others in the same way, and the
+last one is cut into windows of power-of-two lengths, so that nothing is padded.
 
 Cases: null text packs as empty (its closing id alone); repeated rows are packed each; null ids
 stay null; an empty table gives no pieces; long texts fill whole windows first.
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame
 
 from farpoint.llm.common import CACHE_WORDS, flat_words, keep, pick, ranges, row_sums, ship, slices, texts_of, tidy
 
+#: Windows that may always be open, full windows for each further one, and the most that may be.
+OPEN, CLOSED, MOST_OPEN = 8, 16, 2048
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -80,11 +84,12 @@ class WordIds:
 class Packer:
     """Windows of ``capacity`` ids. Items are (doc, start, ids, doc_tokens)."""
 
-    def __init__(self, capacity: int = 4096, open_windows: int = 2048):
-        self.capacity, self.most_open = capacity, open_windows
+    def __init__(self, capacity: int = 4096, most_open: int = MOST_OPEN):
+        self.capacity, self.most_open = capacity, most_open
         self.counts = np.zeros(capacity + 1, dtype=np.int64)
         self.windows: list[list[list]] = [[] for _ in range(capacity + 1)]
         self.n_open, self.sequences, self.done = 0, 0, []
+        self.late = 0  # ids placed at the end, out of the windows open then
 
     def emit(self, items: list) -> None:
         offset = 0
@@ -93,69 +98,71 @@ class Packer:
             offset += len(ids)
         self.sequences += 1
 
-    def level(self, size: int) -> int:
-        """The fill level (0: a new window) with the least growth of the sum of squares; ties to the fullest."""
+    def level(self, size: int, fresh: bool = True) -> int | None:
+        """The fill level (0: a new window) with the least growth of the sum of squares; ties to the fullest; None where none has room."""
         room = self.capacity - size + 1
         here = self.counts[:room]
         gain = 2 * self.counts[size:] + 1
         gain[-1] = 0  # a full window is no longer counted
-        cost = np.where(here > 0, gain - 2 * here + 1, np.iinfo(np.int64).max)
-        cost[0] = gain[0]
-        return room - 1 - int(np.argmin(cost[::-1]))
-
-    def place(self, doc, start: int, ids: np.ndarray, total: int) -> None:
-        h = self.level(len(ids))
-        items = []
-        if h:
-            items = self.windows[h].pop()
-            self.counts[h] -= 1
-            self.n_open -= 1
-        items.append((doc, start, ids, total))
-        t = h + len(ids)
+        none = np.iinfo(np.int64).max
+        cost = np.where(here > 0, gain - 2 * here + 1, none)
+        cost[0] = gain[0] if fresh else none
+        h = room - 1 - int(np.argmin(cost[::-1]))
+        return None if cost[h] == none else h
+
+    def take(self, level: int) -> list:
+        if not level:
+            return []
+        self.counts[level] -= 1
+        self.n_open -= 1
+        return self.windows[level].pop()
+
+    def place(self, doc, start: int, ids: np.ndarray, total: int, most: int) -> None:
+        """Puts an item into windows, of which at most ``most`` are open."""
+        while (h := self.level(len(ids), self.n_open < most)) is None:
+            low = self.capacity - len(ids) + 1  # no window has room: the commonest level, then the fullest, is closed
+            h = self.capacity - int(np.argmax(self.counts[low:][::-1]))
+            room = self.capacity - h
+            self.emit([*self.take(h), (doc, start, ids[:room], total)])
+            start, ids = start + room, ids[room:]
+        items, t = [*self.take(h), (doc, start, ids, total)], h + len(ids)
         if t == self.capacity:
             self.emit(items)
             return
         self.windows[t].append(items)
         self.counts[t] += 1
         self.n_open += 1
-        if self.n_open > self.most_open:
-            self.join_open(last=False)
 
     def add(self, doc, ids: np.ndarray) -> None:
         whole = len(ids) // self.capacity * self.capacity
         for s in range(0, whole, self.capacity):
             self.emit([(doc, s, ids[s : s + self.capacity], len(ids))])
         if whole < len(ids):
-            self.place(doc, whole, ids[whole:].copy(), len(ids))
-
-    def join_open(self, last: bool) -> None:
-        """Cuts and joins all open windows into full ones; a rest is left open, or at the end cut to powers of two."""
-        left = [x for per in self.windows for w in per for x in w]
-        self.windows = [[] for _ in range(self.capacity + 1)]
-        self.counts[:] = 0
-        self.n_open = 0
-        total = sum(len(x[2]) for x in left)
-        sizes = [self.capacity] * (total // self.capacity)
-        rest = total % self.capacity
-        if last:
-            sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        at = 0
-        for size in sizes:
+            self.place(doc, whole, ids[whole:].copy(), len(ids), min(self.most_open, OPEN + self.sequences // CLOSED))
+
+    def finish(self) -> None:
+        """Places the emptiest open windows into the others, and cuts the last one to powers of two."""
+        while self.n_open > 1:
+            t = int(np.argmax(self.counts > 0))
+            for doc, start, ids, total in self.take(t):
+                self.late += len(ids)
+                self.place(doc, start, ids, total, max(1, self.n_open))
+        if not self.n_open:
+            return
+        left, at = self.take(t := int(np.argmax(self.counts > 0))), 0
+        self.late += t
+        for size in (1 << b for b in range(t.bit_length() - 1, -1, -1) if t >> b & 1):
             window, filled = [], 0
             while filled < size:
                 doc, start, ids, n = left[at]
-                take = min(size - filled, len(ids))
-                window.append((doc, start, ids[:take], n))
-                filled += take
-                if take == len(ids):
+                part = min(size - filled, len(ids))
+                window.append((doc, start, ids[:part], n))
+                filled += part
+                if part == len(ids):
                     at += 1
                 else:
-                    left[at] = (doc, start + take, ids[take:], n)
+                    left[at] = (doc, start + part, ids[part:], n)
             self.emit(window)
-        if not last and rest:
-            self.windows[rest].append(left[at:])
-            self.counts[rest] += 1
-            self.n_open = 1
 
 
 _CODERS: dict[str, WordIds] = keep(__name__)
@@ -174,7 +181,7 @@ def default_path() -> str:
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2,
-         capacity: int = 4096, open_windows: int = 2048) -> DataFrame:
+         capacity: int = 4096, most_open: int = MOST_OPEN) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
@@ -184,7 +191,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        code, packer, id_type = coder(path or default_path()), Packer(capacity, open_windows), None
+        code, packer, id_type = coder(path or default_path()), Packer(capacity, most_open), None
 
         def rows() -> Iterator[pa.RecordBatch]:
             cols = list(zip(*packer.done, strict=True)) or [[] for _ in range(7)]
@@ -202,7 +209,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
                     packer.add(doc, np.append(ids[a:b], np.uint32(end_id)))
                 if packer.done:
                     yield from rows()
-        packer.join_open(last=True)
+        packer.finish()
         if packer.done:
             yield from rows()
 

@@ -23,7 +23,8 @@ def op1_secrets(spark: SparkSession, d: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *[count(k) for k in secrets.KINDS], F.sha2(text(F.filter("found", lambda x: x["kind"] != "guess")), 256).alias("base_sha256"), text(F.col("found")).alias("spans")
+        "doc_id", *[count(k) for k in secrets.KINDS if k != "guess"], F.sha2(text(F.filter("found", lambda x: x["kind"] != "guess")), 256).alias("base_sha256"),
+        text(F.col("found")).alias("spans"), count("guess"),
     )
 
 

@@ -179,20 +179,23 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]", min_log_guesses: float = 9.0) -> DataFrame:
-    """df with every span of its texts replaced by ``mask`` (overlapping spans by one); all else unchanged."""
+    """df with every span of its texts replaced by ``mask`` (overlapping spans by one); all else unchanged. Null texts stay null; whatever the other columns are called."""
     ship(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).cast(pa.string())
-            hits = np.flatnonzero(may_hold(texts)).tolist()
-            if hits:
-                values = texts.to_pylist()
-                for i in hits:
-                    values[i] = masked(values[i], scan(values[i], min_log_guesses), mask)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(values, type=batch.column(at).type))
-            yield batch
+            for part in slices(batch, at):
+                texts = part.column(at).cast(pa.string())
+                hits = np.flatnonzero(may_hold(texts))
+                if len(hits):
+                    values = [texts[i].as_py() for i in hits.tolist()]
+                    clean = pa.array([masked(v, scan(v, min_log_guesses), mask) for v in values], type=pa.string())
+                    at_hits = np.zeros(len(texts), dtype=bool)
+                    at_hits[hits] = True
+                    texts = pc.replace_with_mask(texts, pa.array(at_hits), clean)
+                    part = part.set_column(at, part.schema.field(at), texts.cast(part.schema.field(at).type))
+                yield part
 
     return df.mapInArrow(tidy(run), df.schema)
 

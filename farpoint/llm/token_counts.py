@@ -109,7 +109,7 @@ class MergeCounter:
         """Tokens of each text. Words between single spaces are counted once per distinct word."""
         loose = pc.match_substring_regex(texts, LOOSE)
         if self.special is not None:
-            loose = pc.or_(loose, pc.match_substring_regex(texts, self.special.pattern.replace("\\", "\\")))
+            loose = pc.or_(loose, pc.match_substring_regex(texts, self.special.pattern))
         loose = loose.to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(~loose), texts, pa.scalar("", pa.string()))
         index, words, offsets = flat_words(pc.split_pattern(plain, " "))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -17,13 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are split into words at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch, unless the session has another value than Spark's default: texts may be long.
+BATCH_ROWS, BATCH_CONF, BATCH_DEFAULT = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Entries that a worker's word cache holds before it starts afresh.
 CACHE_WORDS = 300_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per context, by Spark's own file server."""
+    """Sends this package to the executors, once per context, by Spark's own file server, and bounds Arrow batches."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_farpoint_shipped", False):
         return
@@ -47,6 +52,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete shuffles and checkpoints that nothing refers to any more; it does so after a collection only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: What a worker keeps from task to task, by the module it belongs to.
 _KEPT: dict[str, dict] = {}
 
@@ -97,7 +108,7 @@ def byte_lengths(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows of at most ``limit`` bytes of text; a longer text stands alone."""
     lengths = byte_lengths(batch.column(text))
     start, total = 0, 0

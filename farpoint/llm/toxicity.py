@@ -1,19 +1,21 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Tokens are runs between ASCII white space, lower-cased and stripped of non-letters at both ends.
-Weights are log-odds with a Dirichlet prior between toxic and other labelled documents, kept
-where they are significant; every other token costs ``drift``. A linear-time scan finds all
-maximal segments of positive score. Their extreme-value statistics (lambda from the scores'
-distribution over clean tokens, K from clean documents' best segments) turn a score into an
-expected number of chance segments in a text of that length; the significant ones, summed, go
-through a logistic calibration to a probability.
-
-The classifier is fitted on at most ``sample`` labelled rows, those with the smallest hash; the
-vocabulary has at most ``vocabulary`` tokens. Scoring covers whole texts.
+Terms are tokens and their first ``STEMS`` letters, so that forms of a word that were never seen
+count by their stem. Weights are log-odds with a Dirichlet prior between toxic and other labelled
+documents, kept where they are significant; a token weighs what its most significant term does, and
+every other token costs ``drift``. A linear-time scan finds all maximal segments of positive score.
+Their extreme-value statistics (lambda from the scores' distribution over clean tokens, K from clean
+documents' best segments) turn a score into an expected number of chance segments in a text of that
+length. The best segment's, whether significant or not, and the sum of the significant ones go through a
+logistic calibration to a probability, fitted on documents that no weight was learned from.
+
+The classifier is fitted on at most ``sample`` labelled rows, those with the smallest hash, of which
+one in ``CALIBRATE`` calibrates; the vocabulary has at most ``vocabulary`` terms. Scoring covers whole texts.
 
 Cases: null and empty texts have no segment and get the score of one; rows without a label or
-document do not train; repeated labels count once (the larger); with no usable labels every
-score is 0; null ids stay null, held out by the remainder of the empty text; an empty table
+document do not train; repeated labels count once (the larger), and so does an id with several
+texts (the least one); with no usable labels every score is 0; null ids stay null, held out by the remainder of the empty text; an empty table
 gives an empty table.
 """
 
@@ -31,13 +33,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import flat_words, pick, remainder, ship, slices, texts_of, tidy
+from farpoint.llm.common import checkpoint, flat_words, pick, remainder, ship, slices, texts_of, tidy
 
 SAMPLE = 20_000
 VOCABULARY = 4096
+#: Letters of the beginnings of words that are terms.
+STEMS = (4, 5, 6)
+#: One in so many sampled documents calibrates.
+CALIBRATE = 4
 #: Pseudo-documents of the prior, spread over tokens by their frequency.
 PRIOR = 10.0
-MIN_Z = 2.0
+#: Least significance and least log-odds of a term; smaller ones tell language and length, not toxicity.
+MIN_Z, MIN_ODDS = 3.0, 1.0
 DRIFT = 0.05
 CLIP = 6.0
 #: Expected chance segments up to which a segment counts.
@@ -54,6 +61,13 @@ class Model:
     coefficients: tuple[float, ...] = (-50.0, 0.0, 0.0)
 
 
+def stems(keys: pa.Array) -> list[pa.Array]:
+    """For each of STEMS the beginnings of the words, with a mark; null for shorter words."""
+    size = pc.utf8_length(keys)
+    cut = lambda n: pc.binary_join_element_wise(pc.utf8_slice_codeunits(keys, 0, n), "*", "")
+    return [pc.if_else(pc.greater_equal(size, n), cut(n), pa.scalar(None, pa.string())) for n in STEMS]
+
+
 def token_keys(words: pa.Array) -> pa.Array:
     """Lower-cased words without non-letters at their ends."""
     return pc.replace_substring_regex(pc.utf8_lower(words), r"^[^\p{L}]+|[^\p{L}]+$", "")
@@ -109,9 +123,13 @@ class Scorer:
         n = np.diff(offsets)
         if not self.m.words:
             return n, {}
-        at = pc.fill_null(pc.index_in(token_keys(words), self.vocabulary), len(self.m.words)).to_numpy(zero_copy_only=False)
+        keys, none = token_keys(words), len(self.m.words)
+        # terms stand by significance, so the first one known decides
+        at = np.minimum.reduce([pc.fill_null(pc.index_in(t, self.vocabulary, skip_nulls=True), none).to_numpy(zero_copy_only=False) for t in (keys, *stems(keys))])
         w = self.weights[at][index]
         hits = np.flatnonzero(w)
+        if not len(hits):
+            return n, {}
         rows = np.searchsorted(offsets, hits, side="right") - 1
         out = {}
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
@@ -126,9 +144,10 @@ class Scorer:
         return math.log(self.m.k * max(n, 1)) - self.m.lam * score
 
     def features(self, n: int, segs: list[tuple[int, int, float]]) -> tuple[float, float]:
-        """(evidence of the best segment, evidence of all significant ones), each log-scaled."""
+        """(evidence of the best segment, signed; evidence of all significant ones), each log-scaled."""
+        best = -self.log_e(max((s for _, _, s in segs), default=0.0), n)
         strong = [-e for _, _, s in segs if (e := self.log_e(s, n)) <= math.log(SIGNIFICANT)]
-        return (math.log1p(max(strong)), math.log1p(sum(strong))) if strong else (0.0, 0.0)
+        return math.copysign(math.log1p(abs(best)), best), math.log1p(sum(strong))
 
     def probability(self, x: tuple[float, float]) -> float:
         c = self.m.coefficients
@@ -137,9 +156,7 @@ class Scorer:
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int, float]]]]:
         """(scores, token counts, segments)."""
         n, segs = self.segments(texts)
-        out = np.full(len(texts), self.probability((0.0, 0.0)))
-        for i, s in segs.items():
-            out[i] = self.probability(self.features(int(n[i]), s))
+        out = np.array([self.probability(self.features(k, segs.get(i, []))) for i, k in enumerate(n.tolist())], dtype=float)
         return out, n, segs
 
 
@@ -154,30 +171,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     words = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
     least = F.array_min(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5))))
     keyed = rows.withColumn("w", words).withColumn("key", F.when(F.size("w") >= 5, least).otherwise(F.xxhash64("text")))
-    best = keyed.groupBy("key", "y").agg(F.min("doc_id").alias("doc_id"))
-    return rows.join(F.broadcast(best.select("doc_id")), "doc_id").select("text", "y")
+    best = keyed.groupBy("key", "y").agg(F.min(F.struct("doc_id", "text")).alias("best"))
+    once = best.groupBy("best.doc_id").agg(F.min("best.text").alias("text"), F.max("y").alias("y"))  # at most ``sample`` rows
+    return once.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE)) == 0).alias("calibrates"))
 
 
 def word_table(rows: DataFrame) -> DataFrame:
-    """(word, t, c, ct): toxic documents, other documents, and tokens of other documents per word; "" holds totals."""
+    """(word, t, c, ct): toxic documents, other documents, and tokens of other documents per term; "" holds totals."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 y = part.column("y").to_numpy(zero_copy_only=False)
                 index, words, offsets = flat_words(pc.ascii_split_whitespace(texts_of(part)))
-                names = token_keys(words).to_pylist()
                 doc = np.repeat(np.arange(len(y)), np.diff(offsets))
                 table: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
                 table[""] = [int((y == 1).sum()), int((y == 0).sum()), int((y[doc] == 0).sum())]
-                # documents by distinct token: a word may come with several signs around it
-                key, code = np.unique(np.array(names, dtype=object).astype(str), return_inverse=True) if names else (np.array([]), np.array([], dtype=int))
-                flat = code[index] if len(index) else np.array([], dtype=int)
-                pairs = np.unique(doc * max(len(key), 1) + flat)
-                of, d = pairs % max(len(key), 1), pairs // max(len(key), 1)
-                cols = [np.bincount(of[y[d] == v], minlength=len(key)) for v in (1, 0)] + [np.bincount(flat[y[doc] == 0], minlength=len(key))]
-                for i, w in enumerate(key.tolist()):
-                    if w:
-                        table[w] = [int(c[i]) for c in cols]
+                keys = token_keys(words)
+                for terms in (keys, *stems(keys)):
+                    # documents by distinct term: a word may come with several signs around it
+                    coded = terms.dictionary_encode()
+                    code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[index]
+                    own, d = code[code >= 0], doc[code >= 0]
+                    width = max(len(coded.dictionary), 1)
+                    pairs = np.unique(d * width + own)
+                    of, at = pairs % width, pairs // width
+                    cols = [np.bincount(of[y[at] == v], minlength=width) for v in (1, 0)] + [np.bincount(own[y[d] == 0], minlength=width)]
+                    for i, w in enumerate(coded.dictionary.to_pylist()):
+                        if w:
+                            table[w] = [int(c[i]) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(list(table)), *[pa.array([v[i] for v in table.values()], type=pa.int64()) for i in range(3)]], names=["word", "t", "c", "ct"])
 
     parts = rows.mapInArrow(tidy(run), "word string, t long, c long, ct long")
@@ -216,8 +237,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, vocabulary: int = VOCABULARY, hold_out: int = 5) -> Model:
     """Learns from labelled rows whose crc32(id) mod ``hold_out`` is not 0."""
     ship(docs.sparkSession)
-    rows = training_rows(docs, labels, id_col, text_col, sample, hold_out)
-    counts = word_table(rows).withColumn("n", F.col("t") + F.col("c")).filter("n >= 3")
+    rows = checkpoint(training_rows(docs, labels, id_col, text_col, sample, hold_out))
+    counts = word_table(rows.filter("not calibrates")).withColumn("n", F.col("t") + F.col("c")).filter("n >= 3")
     # significance in SQL, so that only the vocabulary comes to the driver
     totals = counts.filter("word = ''").first()
     if totals is None or not totals["t"] or not totals["c"]:
@@ -227,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = lambda hit, all_: F.log((hit + prior) / (F.lit(float(all_)) - hit + PRIOR))
     delta = odds(F.col("t"), n1) - odds(F.col("c"), n0)
     z = delta / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    kept = counts.filter("word <> ''").withColumns({"d": delta, "z": z}).filter(F.abs("z") >= MIN_Z)
+    kept = counts.filter("word <> ''").withColumns({"d": delta, "z": z}).filter((F.abs("z") >= MIN_Z) & (F.abs("d") >= MIN_ODDS))
     table = kept.orderBy(F.desc(F.abs("z")), "word").limit(vocabulary).select("word", "d", "ct").collect()
     words, weights = tuple(r["word"] for r in table), np.clip(np.array([r["d"] for r in table], dtype=float), -CLIP, CLIP)
     shares = (np.array([r["ct"] for r in table], dtype=float) + 0.5) / tokens
@@ -243,9 +264,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(n, type=pa.int64()), pa.array(lists, type=pa.list_(pa.float64()))], names=["y", "n", "s"])
 
     # one short row per sampled document, at most ``sample``
-    seen = rows.mapInArrow(tidy(best), "y int, n long, s array<double>").collect()
+    seen = rows.filter("calibrates").mapInArrow(tidy(best), "y int, n long, s array<double>").collect()
     clean = [lam * max(r["s"], default=0.0) - math.log(max(r["n"], 1)) for r in seen if r["y"] == 0]
     k = math.exp(min(50.0, float(np.mean(clean)) - 0.5772156649015329)) if clean else 1.0
+    if len({r["y"] for r in seen}) < 2:
+        return Model()
     scorer = Scorer(Model(words, tuple(weights.tolist()), lam, k))
     x = np.array([scorer.features(r["n"], [(0, 0, s) for s in r["s"]]) for r in seen])
     c = logistic(x, np.array([float(r["y"] == 1) for r in seen]))

@@ -2,19 +2,20 @@
 
 1. Every text becomes its set of distinct hashed shingles; equal sets become one representative,
    so copies are never paired.
-2. A set can only have a partner if as large a share of its tokens also occurs elsewhere. Tokens
-   are dealt by hash into ranges, as packed arrays, to find those of two or more documents; sets
-   with too few of them are done.
+2. A set can only have a partner if enough of its least tokens, by hash, are also among those of
+   another set: the first common tokens of two similar sets stand in the heads of both. Heads are dealt by
+   hash into ranges, as packed arrays, to count such tokens; sets with too few of them are done.
 3. Prefix filter among the rest: if two sets of n and m tokens are similar enough, the
    n - ceil(t n) + 1 first tokens of either, in any order common to all, share one. The order is by
-   document frequency, rarest first. Representatives that follow each other under a token are
-   chained, and the components of the chains, families, hold every possible link.
+   document frequency, rarest first. Representatives under a token are joined to the least of them,
+   and the components of these edges, families, hold every possible link.
 4. Families are dealt into blocks of bounded size. In each block a signature tree is built: leaves
    of similar sets, nodes with OR-combined token bitmaps and size ranges. Dual traversal drops pairs of
    nodes whose greatest possible overlap is too small; pairs already connected are skipped; the
    rest are counted exactly.
-5. Only blocks of one family that are not yet connected are paired with each other, in the same
-   way. Links between different sets are never lost: bounds are exact and nothing is capped.
+5. Of a family of several blocks, the most typical set of each component so far goes on to the next round of
+   blocks, until rounds join little. Then all sets still apart whose sizes allow a link are paired, block by
+   block, in the same way. Links between different sets are never lost: bounds are exact and nothing is capped.
 
 Cases: null or blank texts have no shingles and link with nothing; fewer words than a shingle
 make one; repeated rows share their component; rows that repeat a doc_id with another text may
@@ -35,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import checkpoint, flat_words, pick, ship, slices, texts_of, tidy
+from farpoint.llm.common import checkpoint, flat_words, pick, ship, slices, sweep, texts_of, tidy
 from farpoint.llm.graph import components
 
 #: Tokens of a range, about.
-RANGE_TOKENS = 1_000_000
+RANGE_TOKENS = 2_000_000
+#: Documents, about, whose counts are summed at a time.
+BUCKET_DOCS = 200_000
 #: Tokens, about, that a worker sorts at a time before they are dealt.
 RUN_TOKENS = 1_000_000
 #: Sets in a block.
@@ -47,7 +50,8 @@ BLOCK = 512
 #: Rows up to which a table of ids is broadcast; beyond, it is joined by shuffle.
 SMALL = 500_000
 LEAF, FAN = 16, 8
-MASK = (1 << 64) - 1
+#: Least tokens of a set that must be shared, per cent, before it is looked at closer.
+SHARED = 30
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -89,6 +93,21 @@ def needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def part(n: int, percent: int) -> int:
+    """percent of n, rounded up."""
+    return -(-percent * n // 100)
+
+
+def head(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The least tokens of a sorted set: those of two similar sets share SHARED per cent of the smaller set.
+
+    Two sets of n and m tokens with a common ones, a >= percent of either, share their k first common tokens
+    within their n - a + k and m - a + k least tokens, for any k up to a.
+    """
+    n = len(tokens)
+    return tokens[: n - part(n, percent) + part(n, min(SHARED, percent))]
+
+
 class SignatureTree:
     """Paged tree over sets: per node an OR bitmap, size range and the most tokens lost to shared bits."""
 
@@ -227,39 +246,48 @@ def _links_between(percent: int):
     return run
 
 
-def repeated_counts(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, c): how many of a document's tokens occur in another document too; none missing means 0.
+def repeated_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, c): how many tokens of a document's head occur in another one's head too; none missing means 0.
 
     Tokens repeated within a run of documents are counted there and sent once, so a very common
-    token costs its range one entry a run. A run ends once it holds ``RUN_TOKENS``, however wide the batches. Ranges compare 32 more bits of the hash; tokens that agree in
-    those only add to c, which may be too large but never too small.
+    token costs its range one entry a run. A run ends once it holds ``RUN_TOKENS``, however wide the batches.
+    Ranges compare 32 more bits of the hash; tokens that agree in those only add to c, which may be too
+    large but never too small. Counts come from a range as one row for each bucket of documents.
     """
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(20, max(4, math.ceil(math.log2(chars / 6 / RANGE_TOKENS + 1))))
+    found = docs.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
+    tokens = (found[0] or 0) / 6 * (100 - percent + SHARED) / 100
+    bits = max(3, math.ceil(math.log2(tokens / RANGE_TOKENS + 1)))
+    buckets = max(1, math.ceil(found[1] / BUCKET_DOCS))
+    none = np.iinfo(np.int64).min
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
         ids, sets, held = [], [], 0
         for batch in batches:
-            for part in slices(batch):
-                ids += part.column("doc_id").to_pylist()
-                found = shingle_sets(texts_of(part), width)
-                sets += found
-                held += sum(map(len, found))
-                del found
+            for piece in slices(batch):
+                ids += piece.column("doc_id").to_pylist()
+                heads = [head(s, percent) for s in shingle_sets(texts_of(piece), width)]
+                sets += heads
+                held += sum(map(len, heads))
                 if held >= RUN_TOKENS:
                     yield ids, sets
                     ids, sets, held = [], [], 0
         if held:
             yield ids, sets
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def bucketed(ids: np.ndarray, counts: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+        if not len(ids):
+            return []
+        of = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        own, starts = np.unique(of[order], return_index=True)
+        return [(b, i.tobytes(), c.tobytes()) for b, i, c in zip(own.tolist(), np.split(ids[order], starts[1:]), np.split(counts[order], starts[1:]), strict=True)]
 
-        seq = TaskContext.get().partitionId() << 32
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in runs(batches):
             doc = np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in sets])
             token = np.concatenate(sets)
             sets.clear()
+            token = token << np.uint64(64 - bits) | token >> np.uint64(bits)  # low bits tell the range
             order = np.argsort(token, kind="stable")
             token, doc = token[order], doc[order]
             del order
@@ -267,34 +295,42 @@ def repeated_counts(docs: DataFrame, width: int) -> DataFrame:
             again = np.append(False, same) | np.append(same, False)
             first = np.append(True, ~same)
             own, n = np.unique(doc[again], return_counts=True)
-            seq += 1
-            rows = [(-seq, own.tobytes(), n.astype(np.int64).tobytes())]
+            rows = [(-1 - b, i, c) for b, i, c in bucketed(own, n.astype(np.int64))]
             # a token of one document goes with it, one of several goes once, without a document
             token, known, doc = token[first], again[first], doc[first]
-            cut = np.searchsorted(token, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            where = (token >> np.uint64(64 - bits)).astype(np.int64)
             key = (token >> np.uint64(32 - bits)).astype(np.uint32)
-            for r, (k, known_, d) in enumerate(zip(np.split(key, cut), np.split(known, cut), np.split(doc, cut), strict=True)):
-                if len(k):
-                    rows.append((r, np.concatenate([k[~known_], k[known_]]).tobytes(), d[~known_].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "x", "y"])
+            own, starts = np.unique(where, return_index=True)
+            for r, k, known_, d in zip(own.tolist(), np.split(key, starts[1:]), np.split(known, starts[1:]), np.split(doc, starts[1:]), strict=True):
+                rows.append((r, np.concatenate([k[~known_], k[known_]]).tobytes(), d[~known_].tobytes()))
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "x", "y"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["range"].iloc[0] < 0:
-            parts = [(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            return pd.DataFrame({"doc_id": np.concatenate([p[0] for p in parts]), "c": np.concatenate([p[1] for p in parts])})
+        r = int(pdf["range"].iloc[0])
+        if r < 0:  # counts already, of one bucket
+            rows = [(-1 - r, x, y) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            return pd.DataFrame(rows, columns=["bucket", "ids", "counts"])
         keys = [np.frombuffer(x, dtype=np.uint32) for x in pdf["x"]]
         docs_ = [np.frombuffer(y, dtype=np.int64) for y in pdf["y"]]
         key = np.concatenate(keys)
-        doc = np.concatenate([np.append(d, np.full(len(k) - len(d), np.iinfo(np.int64).min)) for k, d in zip(keys, docs_, strict=True)])
+        doc = np.concatenate([np.append(d, np.full(len(k) - len(d), none)) for k, d in zip(keys, docs_, strict=True)])
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         same = key[1:] == key[:-1]
-        again = (np.append(False, same) | np.append(same, False)) & (doc != np.iinfo(np.int64).min)
+        again = (np.append(False, same) | np.append(same, False)) & (doc != none)
         own, n = np.unique(doc[again], return_counts=True)
-        return pd.DataFrame({"doc_id": own, "c": n.astype(np.int64)})
+        return pd.DataFrame(bucketed(own, n.astype(np.int64)), columns=["bucket", "ids", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["ids"]])
+        counts = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["counts"]])
+        own, at = np.unique(ids, return_inverse=True)
+        return pd.DataFrame({"doc_id": own, "c": np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)})
 
     dealt = docs.filter("doc_id is not null").mapInArrow(tidy(deal), "range long, x binary, y binary")
-    return dealt.groupBy("range").applyInPandas(count, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    packed = dealt.groupBy("range").applyInPandas(count, "bucket long, ids binary, counts binary")
+    return packed.groupBy("bucket").applyInPandas(add, "doc_id long, c long")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -314,26 +350,30 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     linkable = rows.filter("doc_id is not null and digest is not null")
     # copies of a set are combined before the shuffle
     reps = checkpoint(linkable.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")))
-    counts = repeated_counts(docs, width)
-    hopeful = checkpoint(reps.join(counts, F.col("rep") == F.col("doc_id")).filter(100 * F.col("c") >= percent * F.col("n")).select("rep").distinct())
-    chained = chains(with_tokens(docs, hopeful, hopeful.count(), width), percent)
-    families = checkpoint(components(chained).select(F.col("node").alias("rep"), F.col("root").alias("fam")))
+    counts = repeated_counts(docs, width, percent)
+    least = F.ceil(F.col("n") * percent / 100)  # tokens of the smallest partner, and what it must share
+    enough = F.ceil(least * min(SHARED, percent) / 100)
+    hopeful = checkpoint(reps.join(counts, F.col("rep") == F.col("doc_id")).filter(F.col("c") >= enough).groupBy("rep").agg(F.max(F.col("c") / F.col("n")).alias("share")))
+    sets_ = checkpoint(with_tokens(docs, hopeful, hopeful.count(), width))
+    sweep(spark)
+    families = checkpoint(components(chains(sets_, percent)).select(F.col("node").alias("rep"), F.col("root").alias("fam")))
     sizes = families.groupBy("fam").agg(F.count(F.lit(1)).alias("members"))
     active = families.count()
     groups = max(1, math.ceil(active / block))
     blocks = F.ceil(F.col("members") / block)
     where = F.when(blocks > 1, F.concat_ws(":", F.lit("f"), "fam", F.pmod(F.xxhash64("rep"), blocks))).otherwise(F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("fam"), F.lit(groups))))
     placed = checkpoint(families.join(sizes, "fam").select("rep", "fam", "members", where.alias("task")))
-    local = checkpoint(with_tokens(docs, placed, active, width).groupBy("task").applyInPandas(_links_within(percent), "a long, b long"))
-    across = links_across(docs, placed.filter(F.col("members") > block), local, block, width, percent)
-    found = components(local if across is None else local.unionByName(across))
+    within = lambda tasks: checkpoint(_beside(sets_, tasks, active).groupBy("task").applyInPandas(_links_within(percent), "a long, b long"))
+    local = within(placed.select("rep", "fam", "task"))
+    large = placed.filter(F.col("members") > block).select("rep", "fam").join(sets_.groupBy("rep").agg(F.max("share").alias("share")), "rep")
+    found = components(local if large.isEmpty() else links_across(sets_, checkpoint(large), local, within, active, block, percent))
     names = reps.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component"))
     members = rows.join(names, "digest", "left")
     return members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def chains(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): representatives that follow each other under a token of both their prefixes."""
+    """(a, b): representatives and the least one with a token in common in their prefixes."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(t, dtype=np.int64) for t in batch.column("tokens").to_pylist()]
@@ -348,8 +388,9 @@ def chains(sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.count(F.lit(1)).over(per)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     kept = held.withColumn("rank", rank).withColumn("most", prefix - alone).filter(F.col("rank") <= F.col("most"))
-    before = F.lag("rep").over(Window.partitionBy("token").orderBy("rep"))
-    return kept.select("rep", "token").withColumn("b", before).filter("b is not null and b <> rep").select(F.col("rep").alias("a"), "b").distinct()
+    # the least representative of a token, found by partial aggregates; tokens of one representative lead nowhere
+    first = kept.groupBy("token").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b <> last").select("token", "b")
+    return kept.select("rep", "token").join(first, "token").filter("b <> rep").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def with_tokens(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> DataFrame:
@@ -368,28 +409,52 @@ def with_tokens(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> Da
     return picked.mapInArrow(tidy(run), ", ".join(f"{c} {kinds[c]}" for c in ("rep", *names)) + ", tokens binary")
 
 
-def links_across(docs: DataFrame, members: DataFrame, local: DataFrame, block: int, width: int, percent: int) -> DataFrame | None:
-    """Links between blocks of families larger than a block, where components still differ."""
-    if members.isEmpty():
-        return None
-    comp = components(local).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-    known = members.select("rep", "fam").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    known = checkpoint(known)
-    per = known.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_ = per.groupBy("fam").agg(F.count(F.lit(1)).alias("comps"), F.sum(F.when(F.col("n") < block, F.col("n")).otherwise(0)).alias("small")).filter("comps > 1")
-    per = per.join(open_, "fam")
-    pure = F.col("n") >= block
-    chunk = F.when(pure, F.concat_ws(":", F.lit("p"), "comp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)))).otherwise(
-        F.concat_ws(":", F.lit("m"), F.pmod(F.xxhash64("comp"), F.greatest(F.lit(1), F.ceil(F.col("small") / block))))
-    )
-    dealt = checkpoint(known.join(per, ["fam", "comp"]).select("rep", "fam", "comp", chunk.alias("chunk"), F.when(pure, F.col("comp")).alias("whole")))
-    chunks = dealt.select("fam", "chunk", "whole").distinct()
-    other = chunks.select("fam", F.col("chunk").alias("chunk2"), F.col("whole").alias("whole2"))
+def _beside(sets: DataFrame, tasks: DataFrame, rows: int) -> DataFrame:
+    """tasks (rep, ...), of at most ``rows`` rows, with the tokens of each rep."""
+    return sets.join(F.broadcast(tasks) if rows <= SMALL else tasks, "rep")
+
+
+def links_across(sets: DataFrame, members: DataFrame, local: DataFrame, within, active: int, block: int, percent: int) -> DataFrame:
+    """``local`` links and those between blocks of families larger than a block. members: rep, fam, share of tokens found elsewhere."""
+    links, before, turn = local, math.inf, 0
+    while True:
+        comp = components(links).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
+        known = checkpoint(members.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+        # the member with the most tokens found elsewhere stands for its component: others were likely made from it
+        leaders = known.groupBy("fam", "comp").agg(F.max_by("rep", F.struct("share", -F.col("rep"))).alias("rep")).select("rep", "fam")
+        per = leaders.groupBy("fam").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        leaders = checkpoint(leaders.join(per, "fam"))
+        left = leaders.count()
+        if not left:
+            return links
+        if left > 0.9 * before:
+            break
+        before, turn = left, turn + 1
+        blocks = F.ceil(F.col("comps") / block)
+        task = F.concat_ws(":", "fam", F.pmod(F.xxhash64("rep", F.lit(turn)), blocks))
+        links = checkpoint(links.unionByName(within(leaders.select("rep", "fam", task.alias("task")))))
+    known = known.select("rep", "fam", "comp").join(per, "fam")
+    size = (F.length("tokens") / 8).cast("long")
+    # two sets in classes that are not next to each other differ too much in size
+    step = math.log(100 / percent) + 1e-9 if percent < 100 else 1e-9
+    sized = _beside(sets.select("rep", F.floor(F.log(size.cast("double")) / step).alias("class")), known, active)
+    counted = sized.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sized = sized.join(counted, ["fam", "comp"]).withColumn("whole", F.when(F.col("n") >= block, F.col("comp")))
+    spread = sized.groupBy("fam", "class", "whole").agg(F.ceil(F.count(F.lit(1)) / block).alias("chunks"))
+    same = (F.col("s.fam") == F.col("p.fam")) & (F.col("s.class") == F.col("p.class")) & F.col("s.whole").eqNullSafe(F.col("p.whole"))
+    number = F.pmod(F.xxhash64("s.rep"), F.col("p.chunks"))
+    chunk = F.concat_ws(":", F.col("s.class"), F.coalesce(F.col("s.whole").cast("string"), F.lit("m")), number)
+    dealt = checkpoint(sized.alias("s").join(spread.alias("p"), same).select("s.rep", "s.fam", "s.comp", "s.class", "s.whole", chunk.alias("chunk")))
+    chunks = dealt.select("fam", "chunk", "class", "whole").distinct()
+    near = chunks.withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])))
+    other = near.select("fam", "class", F.col("chunk").alias("chunk2"), F.col("whole").alias("whole2"))
     apart = F.coalesce(F.col("whole") != F.col("whole2"), F.lit(True))
-    pairs = checkpoint(chunks.join(other, "fam").filter((F.col("chunk") < F.col("chunk2")) & apart | (F.col("chunk") == F.col("chunk2")) & F.col("whole").isNull()).select("fam", "chunk", "chunk2"))
+    pairs = chunks.join(other, ["fam", "class"]).filter((F.col("chunk") < F.col("chunk2")) & apart | (F.col("chunk") == F.col("chunk2")) & F.col("whole").isNull())
+    pairs = checkpoint(pairs.select("fam", "chunk", "chunk2"))
     key = F.concat_ws("|", "fam", "chunk", "chunk2")
     left = dealt.join(pairs, ["fam", "chunk"]).select("rep", "comp", key.alias("task"), F.lit(0).alias("side"))
     right = dealt.join(pairs.filter("chunk <> chunk2").withColumnsRenamed({"chunk": "chunk1"}).withColumn("chunk", F.col("chunk2")), ["fam", "chunk"]).select(
         "rep", "comp", F.concat_ws("|", "fam", "chunk1", "chunk2").alias("task"), F.lit(1).alias("side"))
     work = checkpoint(left.unionByName(right))
-    return checkpoint(with_tokens(docs, work, work.count(), width).groupBy("task").applyInPandas(_links_between(percent), "a long, b long"))
+    between = _beside(sets, work, work.count()).groupBy("task").applyInPandas(_links_between(percent), "a long, b long")
+    return links.unionByName(checkpoint(between))

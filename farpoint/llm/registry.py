@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farpoint.llm import (
-    audio, jaccard_join, language_id, licenses, mixing, packing, secrets, token_counts, topk_search, toxicity,
+    audio, jaccard_join, language_id, licenses, mixing, packing, secrets, sql, token_counts, topk_search, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,4 +81,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jaccard_join": sql.JACCARD_JOIN, "op3_topk_search": sql.TOPK_SEARCH}

@@ -162,19 +162,49 @@ def test_repeated_counts_do_not_depend_on_runs(spark, monkeypatch, run):
     sets = {i: shingles(t) for i, t in texts.items()}
     want = {i: sum(any(x in sets[j] for j in sets if j != i) for x in s) for i, s in sets.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
-    got = {x["doc_id"]: x["c"] for x in jaccard_join.repeated_counts(df, 5).collect()}
+    got = {x["doc_id"]: x["c"] for x in jaccard_join.repeated_counts(df, 5, jaccard_join.SHARED).collect()}
     assert {i: c for i, c in got.items() if c} == {i: c for i, c in want.items() if c}
 
 
-def test_jaccard_join_large_family_in_small_blocks(spark):
-    r = random.Random(8)
+def test_heads_of_similar_sets_share_enough():
+    r = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(r.integers(1, 60))
+        both = r.choice(5000, n, replace=False)
+        a, b = (np.unique(np.append(both, r.choice(np.arange(5000, 9000), int(r.integers(0, n // 4 + 2))))) for _ in range(2))
+        if 100 * len(both) < 80 * len(np.union1d(a, b)):
+            continue
+        shared = len(np.intersect1d(jaccard_join.head(a, 80), jaccard_join.head(b, 80)))
+        for x in (a, b):
+            assert shared >= jaccard_join.part(jaccard_join.part(len(x), 80), jaccard_join.SHARED)
+
+
+def near_copies(n, seed=8, edits=9):
+    r = random.Random(seed)
     base = [f"w{i}" for i in range(200)]
     texts = {}
-    for i in range(80):
+    for i in range(n):
         w = list(base)
-        for _ in range(r.randrange(0, 9)):
+        for _ in range(r.randrange(0, edits)):
             w[r.randrange(len(w))] = f"x{r.random()}"
         texts[i] = " ".join(w)
+    return texts
+
+
+def test_rows_dealt_for_near_copies_grow_in_proportion(spark, monkeypatch):
+    dealt, beside = [], jaccard_join._beside
+    monkeypatch.setattr(jaccard_join, "_beside", lambda sets, tasks, rows: dealt.append(tasks.count()) or beside(sets, tasks, rows))
+    rows = []
+    for n in (40, 160):
+        dealt.clear()
+        jaccard_join.join(spark.createDataFrame(list(near_copies(n, edits=4).items()), "doc_id long, text string"), block=8).count()
+        rows.append(sum(dealt))
+    assert rows[1] <= 6 * rows[0]
+
+
+@pytest.mark.parametrize("edits", [9, 25])
+def test_jaccard_join_large_family_in_small_blocks(spark, edits):
+    texts = near_copies(80, edits=edits)
     got = jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=8).collect()
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == components_by_force(texts)
 
@@ -185,7 +215,7 @@ def test_repeated_counts_are_never_too_small(docs, rows):
         if i is not None:
             for g in shingles(t):
                 where[g].add(i)
-    got = {r["doc_id"]: r["c"] for r in jaccard_join.repeated_counts(docs.select("doc_id", "text"), 5).collect()}
+    got = {r["doc_id"]: r["c"] for r in jaccard_join.repeated_counts(docs.select("doc_id", "text"), 5, jaccard_join.SHARED).collect()}
     for i, t, *_ in rows:
         if i is not None:
             assert got.get(i, 0) >= sum(len(where[g]) > 1 for g in shingles(t))
@@ -237,11 +267,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch, page, pivots, directory):
     got = topk_search.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>, score int")).collect()
     good = [(i, [int(np.floor(64 * float(np.float32(c)))) for c in v] + [0] * (8 - len(v))) for i, v, _ in data if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     want = []
-    for q, x in dict(g for g in good if g[0] % 20 == 0).items():
+    for q, x in {(i, tuple(v)) for i, v in good if i % 20 == 0}:
         best = sorted(((-sum(a * b for a, b in zip(x, y)), i) for i, y in good if i != q))[:20]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    once = [tuple(r) for r in got if r["query_id"] != 20]
-    assert sorted(once) == sorted(w for w in want if w[0] != 20)
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.integers(-3 * 10**7, 3 * 10**7, (90, 2)).tolist())]
+    data += [(100, [1e9, 1e9]), (101, [1e9, 1e9 + 1]), (120, [3e7, 1.0]), (140, [1e307, 1.0])]  # the last overflows
+    whole = [(i, [int(64 * c) for c in v]) for i, v in data[:-1]]
+    want = []
+    for q, x in [g for g in whole if g[0] % 20 == 0]:
+        best = sorted((-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(x, y)))), i) for i, y in whole if i != q)[:20]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    got = topk_search.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 @pytest.mark.parametrize("page,pivots", [(4096, 256), (32, 2)])
@@ -385,15 +427,36 @@ def test_packer_level_minimises_the_sum_of_squares():
                 cost[h] = int((c[1:32] ** 2).sum())
         h = p.level(size)
         assert cost[h] == min(cost.values())
-        p.place(i, 0, np.zeros(size, dtype=np.uint32), size)
-
-
-def test_packer_joins_when_many_windows_are_open():
-    p = packing.Packer(16, open_windows=3)
-    for i in range(50):
-        p.add(i, np.arange(1 + i % 15, dtype=np.uint32))
-    p.join_open(last=True)
-    assert sum(x[2] for x in p.done) == sum(1 + i % 15 for i in range(50)) and p.n_open == 0
+        p.place(i, 0, np.zeros(size, dtype=np.uint32), size, 1000)
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_packer_places_every_id_once_and_pads_nothing(most):
+    p = packing.Packer(16, most_open=most)
+    r = np.random.default_rng(most)
+    docs = [np.arange(n, dtype=np.uint32) for n in r.integers(1, 40, 300)]
+    open_, whole = 0, defaultdict(list)
+    for i, ids in enumerate(docs):
+        p.add(i, ids)
+        open_ = max(open_, p.n_open)
+    p.finish()
+    assert p.n_open == 0 and open_ <= min(most, packing.OPEN + len(docs))
+    sizes = defaultdict(int)
+    for doc, start, length, crc, total, seq, offset in p.done:
+        assert offset == sizes[seq] and crc == zlib.crc32(docs[doc][start : start + length].astype("<u4").tobytes())
+        sizes[seq] += length
+        whole[doc] += range(start, start + length)
+    assert all(sorted(whole[i]) == list(range(len(ids))) for i, ids in enumerate(docs))
+    assert all(n == 16 or n & (n - 1) == 0 for n in sizes.values()) and sum(n != 16 for n in sizes.values()) <= 4
+
+
+def test_packer_places_most_ids_by_level_in_a_small_task():
+    p, r = packing.Packer(), np.random.default_rng(1)
+    sizes = np.minimum(r.lognormal(6, 1, 300).astype(int) + 1, 30_000)
+    for i, n in enumerate(sizes.tolist()):
+        p.add(i, np.zeros(n, dtype=np.uint32))
+    p.finish()
+    assert p.late < 0.25 * sizes.sum()
 
 
 # 7
@@ -413,6 +476,29 @@ def test_cross_parsing_counts_longest_matches():
     assert p.phrases(symbols, at)[0, 0] == n
 
 
+@pytest.mark.parametrize("lane", [3, 16, 256])
+def test_cross_parsing_of_long_texts_is_one_parse(monkeypatch, lane):
+    monkeypatch.setattr(language_id, "LANE", lane)
+    r = random.Random(lane)
+    ref = " ".join("".join(r.choice("ab") for _ in range(r.randrange(1, 9))) for _ in range(300))
+    p = language_id.Parser({"x": ref, "y": "abba " * 40})
+    texts = [ref, ref[5:] + "q" + ref, "", " ".join(r.choice(["ab", "abba", "baba", "zz"]) for _ in range(2500)), "b", ref * 3]
+    symbols, at = p.alphabet.encode(texts)
+    assert at[4] - at[3] > 8000 or lane < 256
+    for j, lang in enumerate(p.languages):
+        moves = p.moves[j]
+        own = moves.column[symbols]
+        for i in range(len(texts)):
+            n, s = 0, 0
+            for c in own[at[i] : at[i + 1]].tolist():
+                to = int(moves.step(np.array([s]), np.array([c]))[0])
+                if not to or not s:
+                    n += 1
+                s = to or int(moves.step(np.array([0]), np.array([c]))[0])
+            assert p.phrases(symbols, at)[i, j] == n, (lang, i)
+    assert p.phrases(symbols, at)[0, 0] == 1
+
+
 def test_language_id(spark, docs, none):
     r = random.Random(1)
     make = {"en": "the and ing tion with of house thing", "de": "der und ung schaft mit von Haus Ding ß", "el": "και του στο είναι από σπίτι"}

@@ -145,7 +145,8 @@ class Scorer:
 
     def features(self, n: int, segs: list[tuple[int, int, float]]) -> tuple[float, float]:
         """(evidence of the best segment, signed; evidence of all significant ones), each log-scaled."""
-        best = -self.log_e(max((s for _, _, s in segs), default=0.0), n)
+        # without a segment there is no evidence, however unlikely one by chance would have been
+        best = -self.log_e(max(s for _, _, s in segs), n) if segs else min(0.0, -self.log_e(0.0, n))
         strong = [-e for _, _, s in segs if (e := self.log_e(s, n)) <= math.log(SIGNIFICANT)]
         return math.copysign(math.log1p(abs(best)), best), math.log1p(sum(strong))
 

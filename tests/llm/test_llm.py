@@ -384,6 +384,21 @@ def test_toxicity_learns_and_survives_bad_rows(spark, docs, none):
     assert kept == {i for i in got if got[i]["predicted"] == 0}
 
 
+
+def test_toxicity_knows_unseen_forms_by_their_stem_and_texts_without_a_weighted_word(spark):
+    r = random.Random(6)
+    plain = "river stone house tree cloud green door wind table".split()
+    text = lambda extra: " ".join(r.choice(plain) + r.choice(["", "s", "ing"]) for _ in range(40)) + extra
+    rows = [(i, text(f" grobian{r.choice('abcdefgh')}{r.choice('xyz')} grobian{r.choice('abcdefgh')}" if i % 4 == 0 else "")) for i in range(800)]
+    rows += [(4, rows[4][1]), (4, "another text of this id")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    new = spark.createDataFrame([(1, text(" grobianquu grobianwuu")), (2, text("")), (3, "")], "doc_id long, text string").coalesce(1)
+    got = {x["doc_id"]: x for x in toxicity.score(new, model).collect()}
+    assert got[1]["predicted"] == 1 and got[2]["predicted"] == got[3]["predicted"] == 0
+    assert toxicity.Scorer(model).segments(pa.array(["", "cloud"]))[1] == {}
+
+
 # 6
 def test_packing_is_an_exact_round_trip(docs, rows):
     from tokenizers import Tokenizer

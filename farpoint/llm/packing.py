@@ -15,8 +15,10 @@ stay null; an empty table gives no pieces; long texts fill whole windows first.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from farpoint.llm.common import CACHE_WORDS, flat_words, keep, pick, ranges, row_sums, ship, slices, texts_of, tidy
+from farpoint.llm.token_counts import byte_letters
 
 #: Windows that may always be open, full windows for each further one, and the most that may be.
 OPEN, CLOSED, MOST_OPEN = 8, 16, 2048
+#: A letter of the Latin blocks and a mark behind it: by the pattern they never share a token.
+LETTER_MARK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,;:!?#$%&*])"
+#: A run of small letters of the first two blocks; none is changed by composing or by dropping case.
+LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+VISIBLE = byte_letters()
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def as_bytes(word: str) -> str:
+    """A character for each UTF-8 byte, as byte-level models name them."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(VISIBLE)
+
+
 class WordIds:
     """Token ids by the ``tokenizers`` library, asked once per distinct word.
 
@@ -44,19 +57,34 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.lower = "Lowercase" in repr(self.library.normalizer)
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}  # words of the generation before, dropped unless met again
         added = self.library.get_added_tokens_decoder()
+        self.model = self.library.model if self.runs_of_letters_are_pieces() else None
         self.mark_id, self.mark = next(((i, t.content) for i, t in sorted(added.items()) if t.special), (None, None))
 
+    def runs_of_letters_are_pieces(self) -> bool:
+        """Whether a run of LETTERS goes to the merge model as it is, byte by byte; then the steps before can be left out."""
+        probe = "azßöøÿ"
+        norm, pre = self.library.normalizer, self.library.pre_tokenizer
+        pieces = [p for p, _ in pre.pre_tokenize_str(norm.normalize_str(probe) if norm else probe)] if pre else []
+        return self.lower and pieces == [as_bytes(probe)]
+
     def learn(self, words: list[str]) -> None:
-        """Ids of new words, asked in one call: a special token between words keeps them apart."""
+        """Ids of new words: runs of letters from the model, others in few calls, kept apart by a special token between them."""
+        if self.model is not None:
+            letters = [w for w in words if LETTERS(w)]
+            tokens = [[t.id for t in self.model.tokenize(as_bytes(w))] for w in letters]
+            raw, ends = np.array(list(chain.from_iterable(tokens)), dtype="<u4").tobytes(), list(accumulate(4 * len(t) for t in tokens))
+            self.known.update(zip(letters, [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)], strict=True))
+            words = [w for w in words if not LETTERS(w)]
         if self.mark is None:
             alone, together = words, []
         else:
             alone, together = [w for w in words if "<" in w], [w for w in words if "<" not in w]
         for w, e in zip(alone, self.library.encode_batch(alone, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for i in range(0, len(together), 20_000):
-            part = together[i : i + 20_000]
+        for i in range(0, len(together), 1000):
+            part = together[i : i + 1000]
             ids = np.array(self.library.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(ids == self.mark_id)
             raw, starts, ends = ids.tobytes(), np.append(0, 4 * (at + 1)).tolist(), np.append(4 * at, 4 * len(ids)).tolist()
@@ -64,17 +92,21 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets per text)."""
-        # a letter and a full stop or comma never share a token, and case is dropped: fewer distinct words
-        texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,])", r"\1 \2")
+        texts = pc.replace_substring_regex(texts, LETTER_MARK, r"\1 \2")  # and case is dropped: fewer distinct words
         if self.lower:
             marked = pc.match_substring(texts, "<|")
             texts = pc.if_else(marked, texts, pc.ascii_lower(texts))
         index, words, offsets = flat_words(pc.ascii_split_whitespace(texts))
         names = words.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        self.learn([w for w in names if w not in self.known])
-        coded = [self.known[w] for w in names]
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.before = {"": b""}, self.known
+        known, before = self.known, self.before
+        coded = list(map(known.get, names))
+        new = [(i, w) for i, w in enumerate(names) if coded[i] is None]
+        known.update((w, before[w]) for _, w in new if w in before)
+        self.learn([w for _, w in new if w not in before])
+        for i, w in new:
+            coded[i] = known[w]
         sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
         flat, starts = np.frombuffer(b"".join(coded), dtype="<u4"), np.cumsum(sizes) - sizes
         lengths = sizes[index]

@@ -428,6 +428,21 @@ def test_packing_is_an_exact_round_trip(docs, rows):
             assert sum(covered.values()) == len(ids) * sum(len(x) == len(ids) for x in lists)
 
 
+def test_word_ids_equal_the_library_on_mixed_texts_past_the_cache(monkeypatch):
+    from farpoint.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 200)
+    rng = random.Random(3)
+    marks = [*"abcXYZ éñßÀ×÷.,;:!?#$%&*'<|>=ſKÅ1\u0301\u0338\u0345日本\n\xa0", "'s", "'ll", "<|endoftext|>", " ", " the ", "straße "]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 40))) for _ in range(4000)]
+    code = packing.WordIds(packing.default_path())
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        ids, offsets = code.encode(pa.array(part))
+        want = code.library.encode_batch(part, add_special_tokens=False)
+        assert [w.ids for w in want] == [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def test_packer_level_minimises_the_sum_of_squares():
     r = np.random.default_rng(0)
     p = packing.Packer(32)

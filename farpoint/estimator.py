@@ -130,12 +130,10 @@ class LoOPModel(Model):
         new = to_points(df, self.id_col, self.features) if not df.isStreaming and self.features and len(self.features) != len(feats) else None
         names = self.features if new is None else feats
         rows = self.points.count()
+        source = df if new is None else new.drop("cluster")
         if df.isStreaming or rows * len(feats) * 8 <= streaming.BROADCAST_BYTES:
-            source = df if new is None else new.drop("cluster")
             return streaming.score_by_broadcast(source, names, self.matrix(), self.k, self.extent, *self.stats)
-        source = df if new is None else new.withColumnRenamed("id", self.id_col)
-        scored = streaming.score_by_blocks(source, self.id_col, names, self.points, feats, self.k, self.extent, *self.stats)
-        return df.drop("score").join(scored.withColumnRenamed("id", self.id_col), self.id_col, "left")
+        return streaming.score_by_blocks(source, names, self.points, feats, self.k, self.extent, *self.stats)
 
     def save(self, path: str) -> None:
         """Parquet for scores and points, one JSON line for the rest, by Spark's writers."""

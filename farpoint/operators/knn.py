@@ -153,10 +153,10 @@ def _gap(lo: str, hi: str, olo: str, ohi: str):
     ) * (1 - 1e-12)
 
 
-def _close(boxes: DataFrame, parts: int, width: int) -> DataFrame:
+def _close(boxes: DataFrame, parts: int, width: int, others: DataFrame | None = None) -> DataFrame:
     """(block, other): blocks of a cluster whose boxes are within the first one's reach.
 
-    boxes: block, cluster, lo, hi, reach. Blocks of one partition are neighbours in space, and so are
+    boxes: block, cluster, lo, hi, reach; others, where given, hold the second blocks. Blocks of one partition are neighbours in space, and so are
     FAN partitions in a row, and so on: boxes of each level hold those of the next. Two boxes are only
     looked at where their parents are within reach.
     """
@@ -166,22 +166,27 @@ def _close(boxes: DataFrame, parts: int, width: int) -> DataFrame:
     while FAN**levels < parts:
         levels += 1
     part = F.shiftright("block", 33)
-    tables = [boxes.withColumns({"key": F.col("block"), "up": part})]
-    for level in range(1, levels + 2):
-        above, key = tables[-1], F.col("up")
-        low = [F.min(F.col("lo")[i]) for i in range(width)]
-        high = [F.max(F.col("hi")[i]) for i in range(width)]
-        grouped = above.groupBy("cluster", key.alias("key")).agg(F.array(*low).alias("lo"), F.array(*high).alias("hi"), F.max("reach").alias("reach"))
-        tables.append(grouped.withColumn("up", F.floor(F.col("key") / FAN)))
+
+    def tree(lowest: DataFrame) -> list[DataFrame]:
+        tables = [lowest.withColumns({"key": F.col("block"), "up": part})]
+        for _ in range(levels + 1):
+            low = [F.min(F.col("lo")[i]) for i in range(width)]
+            high = [F.max(F.col("hi")[i]) for i in range(width)]
+            grouped = tables[-1].groupBy("cluster", F.col("up").alias("key")).agg(F.array(*low).alias("lo"), F.array(*high).alias("hi"), F.max("reach").alias("reach"))
+            tables.append(grouped.withColumn("up", F.floor(F.col("key") / FAN)))
+        return tables
+
+    first = tree(boxes)
+    second = first if others is None else tree(others)
     columns = lambda t, side: t.select(*[F.col(c).alias(f"{side}_{c}") for c in ("cluster", "key", "up", "lo", "hi", "reach")])
 
-    def descend(pairs: DataFrame, t: DataFrame) -> DataFrame:
-        a = pairs.join(columns(t, "a"), (F.col("cluster") == F.col("a_cluster")) & (F.col("x") == F.col("a_up")))
-        both = a.join(columns(t, "b"), (F.col("cluster") == F.col("b_cluster")) & (F.col("y") == F.col("b_up")))
+    def descend(pairs: DataFrame, level: tuple[DataFrame, DataFrame]) -> DataFrame:
+        a = pairs.join(columns(level[0], "a"), (F.col("cluster") == F.col("a_cluster")) & (F.col("x") == F.col("a_up")))
+        both = a.join(columns(level[1], "b"), (F.col("cluster") == F.col("b_cluster")) & (F.col("y") == F.col("b_up")))
         return both.filter(_gap("a_lo", "a_hi", "b_lo", "b_hi") <= F.col("a_reach")).select("cluster", F.col("a_key").alias("x"), F.col("b_key").alias("y"))
 
-    top = tables[-1].select("cluster", F.col("key").alias("x"), F.col("key").alias("y"))  # one box a cluster
-    return reduce(descend, tables[-2::-1], top).select(F.col("x").alias("block"), F.col("y").alias("other"))
+    top = first[-1].select("cluster", F.col("key").alias("x"), F.col("key").alias("y"))  # one box a cluster, its key 0 in both
+    return reduce(descend, list(zip(first, second, strict=True))[-2::-1], top).select(F.col("x").alias("block"), F.col("y").alias("other"))
 
 
 def _pair_edges(k: int):

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farpoint.errors import ValidationError
 from farpoint.functions.erf import erf_column
+from farpoint.operators import knn
 from farpoint.operators.knn import squared_distances
 from farpoint.operators.scoring import probability
 
@@ -50,40 +51,88 @@ def score_by_broadcast(df: DataFrame, features: list[str], matrix: np.ndarray, k
         raise ValidationError(f"{matrix.nbytes} bytes of training points are over the broadcast bound; score a batch instead")
     shared = df.sparkSession.sparkContext.broadcast(matrix)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            x = f[features].to_numpy(dtype=float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # the columns given pass as they are
+            x = np.column_stack([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in features])
             step = max(1, 4_000_000 // max(1, len(shared.value)))
             ssd = [kth_sum(squared_distances(x[i : i + step], shared.value), k) for i in range(0, len(x), step)]
-            yield f.assign(**{SSD: np.concatenate(ssd) if ssd else np.zeros(0)})
+            far = pa.array(np.concatenate(ssd) if ssd else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*b.columns, far], names=[*b.schema.names, SSD])
 
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return finish(df.mapInPandas(run, f"{cols}, {SSD} double"), k, extent, mean_ev, max_nplof)
+    return finish(df.mapInArrow(run, f"{cols}, {SSD} double"), k, extent, mean_ev, max_nplof)
+
 
+TWO = "block long, cluster string, nq int, np int, qs array<double>, ps array<double>, qlo array<double>, qhi array<double>, plo array<double>, phi array<double>, kth array<double>, reach double"
 
-def score_by_blocks(df: DataFrame, id_col: str, features: list[str], points: DataFrame, feats: list[str], k: int, extent: int, mean_ev: float, max_nplof: float, block: int = 1024) -> DataFrame:
-    """(id, score) of a batch against training points of any number: pairs of packed blocks, then top-k of each row."""
-    def pack(table: DataFrame, names: list[str], key: str, ident: str | None) -> DataFrame:
-        parts = table.select(F.xxhash64(*names, *([ident] if ident else [])).alias("_h"), *([F.col(ident).cast("long").alias("_id")] if ident else []), F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
-        n = max(1, math.ceil(table.count() / block))
-        g = parts.groupBy(F.pmod("_h", F.lit(n)).alias(key))
-        return g.agg(F.collect_list(F.struct(*(["_id"] if ident else []), "x")).alias(f"{key}_rows"))
+
+def _pack_two(width: int, k: int, block: int):
+    """Blocks of rows in spatial order, new ones (is_new) and points apart, with a bound of each new row's k-th distance.
+
+    The bound comes from the points of the block and the last ones before it; infinite where those are fewer than k.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        base, seq = TaskContext.get().partitionId() << 33, 0
+        before, held = np.zeros((0, width)), np.zeros((0, width + 1))
+        for f in knn._with_end(frames):
+            if f is not None:
+                held = np.vstack([held, f.to_numpy(dtype=float)])
+            whole = len(held) if f is None else len(held) // block * block
+            out = []
+            for at in range(0, whole, block):
+                part = held[at : min(at + block, whole)]
+                q, p = part[part[:, 0] == 1, 1:], part[part[:, 0] == 0, 1:]
+                near = np.vstack([before, p])
+                kth = np.partition(squared_distances(q, near), k - 1, axis=1)[:, k - 1] if len(near) >= k else np.full(len(q), np.inf)
+                box = [b for x in (q, p) for b in ((x.min(axis=0), x.max(axis=0)) if len(x) else (None, None))]
+                out.append((base | seq, "0", len(q), len(p), q.ravel(), p.ravel(), *box, kth, float(kth.max()) if len(q) else 0.0))
+                before, seq = near[-4 * k :], seq + 1
+            held = held[whole:]
+            if out:
+                yield pd.DataFrame(out, columns=["block", "cluster", "nq", "np", "qs", "ps", "qlo", "qhi", "plo", "phi", "kth", "reach"])
+    return run
+
+
+def score_by_blocks(df: DataFrame, features: list[str], points: DataFrame, feats: list[str], k: int, extent: int, mean_ev: float, max_nplof: float, block: int = 1024) -> DataFrame:
+    """A batch with ``score`` against training points of any number, exactly.
+
+    New rows and points are dealt together by a space-filling key, so that a block of new rows has points beside
+    it that bound its k-th distances; it then visits only the blocks of points whose box is within that bound.
+    Equal new rows are searched once. A value that is missing or not finite is far from every point.
+    """
+    def values(names: list[str]):
+        return F.array(*[F.col(f"`{c}`").cast("double") for c in names])
+
+    finite = F.forall("_fp_x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    names = [f"f{i}" for i in range(len(feats))]
+    spread = [F.col("_fp_x")[i].alias(c) for i, c in enumerate(names)]
+    new = df.select(values(features).alias("_fp_x")).filter(finite).distinct().select(F.lit(1.0).alias("is_new"), F.lit(0).cast("long").alias("_h"), *spread)
+    old = points.select(values(feats).alias("_fp_x"), F.xxhash64("id").alias("_h")).filter(finite).select(F.lit(0.0).alias("is_new"), "_h", *spread)
+    parts = max(2, min(points.count() // (4 * block) + 1, 20_000))
+    keyed = knn._spatial_key(new.unionByName(old), names)
+    dealt = keyed.repartitionByRange(parts, "_key", "_h").sortWithinPartitions("_key", "_h")
+    both = dealt.select("is_new", *names).mapInPandas(_pack_two(len(names), k, block), TWO).persist()
+    asking = both.filter("nq > 0").select("block", "cluster", F.col("qlo").alias("lo"), F.col("qhi").alias("hi"), "reach")
+    asked = both.filter("np > 0").select("block", "cluster", F.col("plo").alias("lo"), F.col("phi").alias("hi"), F.lit(0.0).alias("reach"))
+    pairs = knn._close(asking, parts, len(names), asked)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for q, p in zip(f["q_rows"], f["p_rows"], strict=True):
-                x, y = np.array([r["x"] for r in q], dtype=float), np.array([r["x"] for r in p], dtype=float)
-                d2 = capped(squared_distances(x, y))
-                m = min(k, d2.shape[1])
-                yield pd.DataFrame({"id": np.repeat([r["_id"] for r in q], m), "d2": np.partition(d2, m - 1, axis=1)[:, :m].ravel()})
-
-    pairs = pack(df, features, "q", id_col).crossJoin(pack(points, feats, "p", None))  # blocks, not rows
-    from pyspark.sql import Window
-
-    near = pairs.select("q_rows", "p_rows").mapInPandas(run, "id long, d2 double")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d2"))).filter(F.col("r") <= k)
-    ssd = best.groupBy("id").agg((F.sum("d2") + (k - F.count(F.lit(1))) * (FAR * FAR)).alias(SSD))
-    return finish(ssd, k, extent, mean_ev, max_nplof)
+            for r in f.itertuples(index=False):
+                x, y = np.asarray(r.qs).reshape(r.nq, -1), np.asarray(r.ps).reshape(r.np, -1)
+                d2 = squared_distances(x, y)
+                row, col = knn.smallest(d2, np.arange(r.np), k, np.asarray(r.kth))
+                if len(row):
+                    yield pd.DataFrame({"_x": list(x[row]), "d2": d2[row, col]})
+
+    work = pairs.join(both.select("block", "nq", "qs", "kth"), "block").join(both.select(F.col("block").alias("other"), "np", "ps"), "other")
+    near = work.select("nq", "qs", "kth", "np", "ps").mapInPandas(run, "_x array<double>, d2 double")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("_x").orderBy("d2"))).filter(F.col("r") <= k)
+    ssd = best.groupBy("_x").agg((F.sum(F.least("d2", F.lit(FAR * FAR))) + (k - F.count(F.lit(1))) * (FAR * FAR)).alias(SSD))
+    joined = df.withColumn("_fp_x", values(features)).join(ssd, F.col("_fp_x") == F.col("_x"), "left").drop("_fp_x", "_x")
+    return finish(joined.withColumn(SSD, F.coalesce(SSD, F.lit(k * FAR * FAR))), k, extent, mean_ev, max_nplof)
 
 
 def score_distances(df: DataFrame, dist: str, k: int, extent: int, mean_ev: float, max_nplof: float) -> DataFrame:

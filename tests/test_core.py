@@ -199,10 +199,34 @@ def test_stream_scores(spark):
     new = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(q)], "id long, v0 double, v1 double")
     got = [r["score"] for r in m.transform(new).orderBy("id").collect()]
     assert np.allclose(got[:2], [stream_by_force(x, rows, v, 6) for v in q[:2]], atol=1e-9) and got[2] > 0.999
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_large_models_score_by_near_blocks(spark, monkeypatch, block):
+    """Blocks give what the broadcast gives: clumps, repeated rows and points, missing, infinite and far values; few pairs, no product."""
     from farpoint import streaming
 
-    blocks = streaming.score_by_blocks(new, "id", names, m.points, ["f0", "f1"], 6, 3, *m.stats, block=16).orderBy("id").collect()
-    assert np.allclose([r["score"] for r in blocks], got, atol=1e-9)
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.2, size=(150, 2)) for c in (0, 6, 12, 18)] + [np.full((200, 2), 3.0)])
+    df, names = frame(spark, x)
+    m = LoOP(names, n_neighbors=6).fit(df)
+    q = [*map(tuple, rng.normal(6, 5, size=(120, 2))), (3.0, 3.0), (3.0, 3.0), (0.0, -0.0), (1e12, 0.0), (float("inf"), 1.0), (float("nan"), 0.0), (None, 1.0)]
+    new = spark.createDataFrame([(i // 2, None if a is None else float(a), float(b)) for i, (a, b) in enumerate(q)], "id long, v0 double, v1 double")
+    want = [tuple(r) for r in m.transform(new).select("id", "v0", "v1", F.round("score", 9)).collect()]
+    seen = []
+    close = knn._close
+    monkeypatch.setattr(knn, "_close", lambda *a: seen.append(close(*a)) or seen[-1])
+    got = streaming.score_by_blocks(new, names, m.points, ["f0", "f1"], 6, 3, *m.stats, block=block)
+    assert got.columns == [*new.columns, "score"]
+    assert sorted(map(str, (tuple(r) for r in got.select("id", "v0", "v1", F.round("score", 9)).collect()))) == sorted(map(str, want))
+    if block == 16:  # new rows spread as the points are
+        like = np.vstack([rng.normal(c, 0.2, size=(100, 2)) for c in (0, 6, 12, 18)])
+        got = streaming.score_by_blocks(frame(spark, like)[0], names, m.points, ["f0", "f1"], 6, 3, *m.stats, block=block)
+        seen = seen[-1:]
+        a, b = (seen[0].select(c).distinct().count() for c in ("block", "other"))
+        assert seen[0].count() < a * b / 4
+        assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+    assert streaming.score_by_blocks(new.limit(0), names, m.points, ["f0", "f1"], 6, 3, *m.stats).count() == 0
 
 
 def test_stream_warns_before_fit_and_on_clusters(spark):

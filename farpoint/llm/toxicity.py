@@ -26,14 +26,15 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import checkpoint, flat_words, pick, remainder, ship, slices, texts_of, tidy
+from farpoint.llm.common import checkpoint, flat_words, pick, ranges, remainder, ship, slices, texts_of, tidy
 
 SAMPLE = 20_000
 VOCABULARY = 4096
@@ -49,6 +50,11 @@ DRIFT = 0.05
 CLIP = 6.0
 #: Expected chance segments up to which a segment counts.
 SIGNIFICANT = 0.05
+#: Words that are hashed together to tell near copies, and the odd factor of that hash.
+WINDOW, MIX = 5, np.uint64(0x9E3779B97F4A7C15)
+#: Rows that Parquet's reader holds at a time, unless the session has another value than Spark's default:
+#: a column of texts is one array that doubles, of tens of MB for 4,096 rows, and the heap grows around it.
+READ_ROWS, READ_CONF, READ_DEFAULT = 512, "spark.sql.parquet.columnarReaderBatchSize", "4096"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -161,17 +167,50 @@ class Scorer:
         return out, n, segs
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ships the package and bounds what Parquet's reader holds."""
+    ship(spark)
+    if spark.conf.get(READ_CONF) == READ_DEFAULT:
+        spark.conf.set(READ_CONF, READ_ROWS)
+
+
+def shingle_keys(texts: pa.Array) -> np.ndarray:
+    """The smallest hash of five words of each text; with fewer words, the hash of the text."""
+    digest = lambda t: int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "little")
+    index, words, offsets = flat_words(pc.ascii_split_whitespace(pc.utf8_lower(texts)))
+    n = np.diff(offsets)
+    out = np.zeros(len(n), dtype=np.uint64)
+    for i in np.flatnonzero(n < WINDOW).tolist():
+        out[i] = digest(texts[i].as_py())
+    long = np.flatnonzero(n >= WINDOW)
+    if len(long):
+        word = np.array([digest(w) for w in words.to_pylist()], dtype=np.uint64)[index]
+        windows = np.zeros(len(word) - WINDOW + 1, dtype=np.uint64)
+        for k in range(WINDOW):
+            windows = windows * MIX + word[k : len(word) - WINDOW + 1 + k]
+        windows = (windows ^ (windows >> np.uint64(29))) * MIX
+        sizes = n[long] - WINDOW + 1
+        out[long] = np.minimum.reduceat(windows[ranges(offsets[long], sizes)], np.cumsum(sizes) - sizes)
+    return out.view(np.int64)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, hold_out: int) -> DataFrame:
     """(text, y) of the sample; labels by ids only, so a text is read where its id is among them."""
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y is not null")
     known = known.filter(remainder("doc_id", hold_out) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").filter("text is not null")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keys = pa.array(shingle_keys(texts_of(part)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "text", "y")), keys], names=["doc_id", "text", "y", "key"])
+
     # near copies would make their own words look significant: one text stays of those that share
-    # the smallest hash of five words
-    words = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
-    least = F.array_min(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5))))
-    keyed = rows.withColumn("w", words).withColumn("key", F.when(F.size("w") >= 5, least).otherwise(F.xxhash64("text")))
+    # the smallest hash of five words. In SQL the lists of words would be garbage of many times the text
+    keyed = rows.mapInArrow(tidy(run), f"doc_id {kind}, text string, y int, key long")
     best = keyed.groupBy("key", "y").agg(F.min(F.struct("doc_id", "text")).alias("best"))
     once = best.groupBy("best.doc_id").agg(F.min("best.text").alias("text"), F.max("y").alias("y"))  # at most ``sample`` rows
     return once.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE)) == 0).alias("calibrates"))
@@ -237,7 +276,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, vocabulary: int = VOCABULARY, hold_out: int = 5) -> Model:
     """Learns from labelled rows whose crc32(id) mod ``hold_out`` is not 0."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = checkpoint(training_rows(docs, labels, id_col, text_col, sample, hold_out))
     counts = word_table(rows.filter("not calibrates")).withColumn("n", F.col("t") + F.col("c")).filter("n >= 3")
     # significance in SQL, so that only the vocabulary comes to the driver
@@ -278,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted, passages) for every row; passages in code points, end exclusive."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("log_e", pa.float64())])
 
@@ -304,7 +343,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score under the threshold, unchanged."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

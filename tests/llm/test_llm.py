@@ -399,6 +399,40 @@ def test_toxicity_knows_unseen_forms_by_their_stem_and_texts_without_a_weighted_
     assert toxicity.Scorer(model).segments(pa.array(["", "cloud"]))[1] == {}
 
 
+def test_toxicity_hashes_near_copies_outside_the_heap_and_reads_few_rows_at_a_time(spark):
+    conf = "spark.sql.parquet.columnarReaderBatchSize"
+    r = random.Random(16)
+    texts = ["", " ", "a b c d", "A b c d e", " a b\tc  d\ne ", "\u00c4 \u6f22 x y z z z", *(" ".join(r.choice(VOCAB) for _ in range(n)) for n in (4, 5, 6, 300))]
+    copies = [texts[-1] + " end", texts[-1].upper()]
+    d = spark.createDataFrame(list(enumerate([*texts, *copies])), "doc_id long, text string")
+    labels = d.selectExpr("doc_id", "0 as toxic")
+    for own, then in (("4096", "512"), ("1000", "1000")):
+        spark.conf.set(conf, own)
+        toxicity.fit(d, labels)
+        assert spark.conf.get(conf) == then
+    spark.conf.unset(conf)
+    rows = toxicity.training_rows(d, labels, "doc_id", "text", 100, 50)
+    assert "transform(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    # by definition: the least hash of five words, one after another
+    digest = lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+    def key(text):
+        words = re.split("[ \t-\r]+", text.lower())
+        if len(words) < 5:
+            return digest(text)
+        best = []
+        for i in range(len(words) - 4):
+            h = 0
+            for w in words[i : i + 5]:
+                h = (h * 0x9E3779B97F4A7C15 + digest(w)) % 2**64
+            best.append((h ^ h >> 29) * 0x9E3779B97F4A7C15 % 2**64)
+        return min(best)
+    keys = [key(t) for t in [*texts, *copies]]
+    assert toxicity.shingle_keys(pa.array([*texts, *copies])).view(np.uint64).tolist() == keys
+    assert len(set(keys[-3:])) == 1 and {zlib.crc32(str(i).encode()) % 50 != 0 for i in range(len(keys))} == {True}
+    firsts = {k: t for k, t in zip(keys[::-1], [*texts, *copies][::-1], strict=True)}  # noqa: C416
+    assert sorted(x["text"] for x in rows.collect()) == sorted(firsts.values())
+
+
 # 6
 def test_packing_is_an_exact_round_trip(docs, rows):
     from tokenizers import Tokenizer

@@ -1,39 +1,50 @@
-"""k-nearest-neighbour self-join within clusters: (id, cluster, rank, nid, d2).
+"""k-nearest-neighbour self-join within clusters: (id, cluster, nid, d2, rank).
 
 Order is total: by squared distance, then by neighbour id. Two exact strategies:
 
 ``sql``    equi-join on the cluster, top-k by window. Catalyst plans a group limit before
            and after the exchange. The probe side is repartitioned by id, else the pairs of
            a small file would be built in a single task.
-``block``  rows are dealt by a space-filling key into blocks of bounded size. Each block finds
-           the neighbours among its own rows, which bounds every row's k-th distance; a block
+``block``  equal points have the same neighbours but for themselves: of each distinct point the
+           k + 1 smallest ids stay, and its k + 1 nearest, itself among them, are searched once.
+           Points are dealt by a space-filling key into blocks of bounded size. Each block finds
+           the neighbours among its own rows, which bounds every point's last distance; a block
            then visits only those blocks whose bounding box can hold something nearer. A hot
            cluster is many blocks, never one task; a task holds two blocks at a time. Pairs of
            blocks are found from the top of a tree of boxes down, by equi-joins on the parents.
+           Hamming distances have few values, and boxes bound them badly: for up to
+           HAMMING_FEATURES features the smallest ids that agree in each set of features are enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farpoint.functions.metrics import distance_sql, euclidean_sq
+from farpoint.functions import kernels
+from farpoint.functions.metrics import METRICS, distance_sql, euclidean_sq
 from farpoint.operators.validate import feature_names
 
 #: Above so many pairs the block strategy is used.
 SQL_PAIRS = 5_000_000
 #: An unrolled distance over more features outgrows what the JVM compiles.
 WIDE_FEATURES = 16
-#: Rows of a block; block_pairs holds two blocks and a matrix of BLOCK x BLOCK doubles.
-BLOCK = 1024
+#: Rows of a block; a task holds two blocks and a matrix of BLOCK x BLOCK doubles. Few features prune well: smaller blocks.
+BLOCK, SMALL_BLOCK, FEW_FEATURES = 1024, 512, 4
+#: Up to so many features, Hamming neighbours come from the sets of features: 2 to that power joins.
+HAMMING_FEATURES = 4
 #: Boxes under one box of the tree.
 FAN = 32
-PACKED = "block long, cluster string, n int, ids array<{id}>, xs array<double>, lo array<double>, hi array<double>"
-EDGES = "id {id}, cluster string, nid {id}, d2 double"
+#: Numbers compared by the driver to find pairs of few boxes, in place of the tree's joins.
+FEW_COMPARED, AT_ONCE = 200_000_000, 4_000_000
+PACKED = "block long, cluster string, n int, ids array<{id}>, firsts array<boolean>, xs array<double>, lo array<double>, hi array<double>"
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -58,49 +69,55 @@ def sql_edges(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame
     return top_k(pairs.select(F.col("a.id").alias("id"), F.col("a.cluster").alias("cluster"), F.col("b.id").alias("nid"), d2.alias("d2")), k)
 
 
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Summed feature by feature, left to right, so that ties fall as in the SQL strategy."""
-    out = np.zeros((len(a), len(b)))
-    for f in range(a.shape[1]):
-        diff = a[:, f, None] - b[None, :, f]
-        out += diff * diff
-    return out
-
-
 def smallest(d2: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's k smallest by (d2, id); infinite and over-limit entries never count."""
     m = d2.shape[1]
-    kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if m > k else np.full(len(d2), np.inf)
+    row = col = None
     if limit is not None:
-        kth = np.minimum(kth, limit)
-    row, col = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
+        near = d2 <= limit[:, None]
+        if near.sum() <= 4 * k * len(d2):
+            row, col = np.nonzero(near & np.isfinite(d2))
+    if row is None:
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if m > k else np.full(len(d2), np.inf)
+        if limit is not None:
+            kth = np.minimum(kth, limit)
+        row, col = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
+    return _ranked(row, d2[row, col], ids[col], k, col)
+
+
+def _ranked(row: np.ndarray, d2: np.ndarray, ids: np.ndarray, k: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, *more) in the order of (row, d2, id), the first k of each row."""
     place = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
-    order = np.lexsort((place[col], d2[row, col], row))
-    row, col = row[order], col[order]
-    start = np.searchsorted(row, row)
-    keep = np.arange(len(row)) - start < k
-    return row[keep], col[keep]
+    order = np.lexsort((place, d2, row))
+    row = row[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], *[x[order][keep] for x in more]
 
 
-def _spatial_key(points: DataFrame, feats: list[str]) -> DataFrame:
+def _spatial_key(points: DataFrame, feats: list[str], metric: str = "euclidean") -> DataFrame:
     """Adds ``_key``: the value itself for one feature, else interleaved bits of up to four scaled features."""
     if len(feats) == 1:
         return points.withColumn("_key", F.col(feats[0]))
-    used = feats[:4]
-    r = points.agg(*[f(c) for c in used for f in (F.min, F.max)]).first()
+    used = {c: F.col(c) for c in feats[:4]}
+    if metric == "cosine":
+        norm = F.sqrt(sum((F.col(c) * F.col(c) for c in feats[1:]), F.col(feats[0]) * F.col(feats[0])))
+        used = {c: F.when(norm > 0, x / F.when(norm > 0, norm).otherwise(1.0)).otherwise(0.0) for c, x in used.items()}
+    r = points.agg(*[f(x) for x in used.values() for f in (F.min, F.max)]).first()
+    bits = 60 // len(used)
     parts = []
-    for i, c in enumerate(used):
+    for i, x in enumerate(used.values()):
         lo, hi = r[2 * i], r[2 * i + 1]
         wide = lo is not None and hi > lo and np.isfinite(hi - lo)
-        parts.append(((F.col(c) - lo) / (hi - lo) * 1023).cast("int") if wide else F.lit(0))
+        parts.append(((x - lo) / (hi - lo) * (2**bits - 1)).cast("long") if wide else F.lit(0).cast("long"))
+    cells = [f"_c{i}" for i in range(len(parts))]
     key = F.lit(0).cast("long")
-    for bit in range(10):
-        for i, p in enumerate(parts):
-            key = key + F.shiftleft(F.shiftright(p, bit).bitwiseAND(1).cast("long"), bit * len(parts) + i)
-    return points.withColumn("_key", key)
+    for bit in range(bits):
+        for i, c in enumerate(cells):
+            key = key + F.shiftleft(F.shiftright(c, bit).bitwiseAND(1), bit * len(parts) + i)
+    return points.withColumns(dict(zip(cells, parts, strict=True))).withColumn("_key", key).drop(*cells)
 
 
-def _pack(feats: list[str], block: int):
+def _pack(feats: list[str], block: int, metric: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -120,10 +137,11 @@ def _pack(feats: list[str], block: int):
                         break
                     g = f.iloc[lo:hi]
                     x = g[feats].to_numpy(dtype=float)
-                    out.append((part << 33 | seq, g["cluster"].iloc[0], hi - lo, g["id"].to_numpy(), x.ravel(), x.min(axis=0), x.max(axis=0)))
+                    in_space = kernels.space(metric, x)
+                    out.append((part << 33 | seq, g["cluster"].iloc[0], hi - lo, g["id"].to_numpy(), g["first"].to_numpy(), x.ravel(), in_space.min(axis=0), in_space.max(axis=0)))
                     seq += 1
             if out:
-                yield pd.DataFrame(out, columns=["block", "cluster", "n", "ids", "xs", "lo", "hi"])
+                yield pd.DataFrame(out, columns=["block", "cluster", "n", "ids", "firsts", "xs", "lo", "hi"])
     return run
 
 
@@ -132,17 +150,17 @@ def _with_end(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
-def _local(k: int):
-    """Adds each row's k-th distance within its block, and their maximum."""
+def _local(k: int, metric: str):
+    """Adds the largest k-th distance of a first row within its block, which counts itself; below 0 where no row is a first."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            kth = []
-            for n, xs in zip(f["n"], f["xs"], strict=True):
+            reach = []
+            for n, xs, firsts in zip(f["n"], f["xs"], f["firsts"], strict=True):
                 x = np.asarray(xs).reshape(n, -1)
-                d2 = squared_distances(x, x)
-                np.fill_diagonal(d2, np.inf)
-                kth.append(np.partition(d2, k - 1, axis=1)[:, k - 1] if n > k else np.full(n, np.inf))
-            yield f.assign(kth=kth, reach=[float(x.max()) for x in kth])
+                d2 = kernels.squared(metric, x[np.asarray(firsts, dtype=bool)], x)
+                kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if n >= k else np.full(len(d2), np.inf)
+                reach.append(float(kth.max()) if len(kth) else -1.0)
+            yield f.assign(reach=reach)
     return run
 
 
@@ -153,15 +171,26 @@ def _gap(lo: str, hi: str, olo: str, ohi: str):
     ) * (1 - 1e-12)
 
 
-def _close(boxes: DataFrame, parts: int, width: int, others: DataFrame | None = None) -> DataFrame:
+def _gap_by(metric: str):
+    """_gap for any metric but the Euclidean one."""
+    @F.pandas_udf("double")
+    def bound(lo: pd.Series, hi: pd.Series, olo: pd.Series, ohi: pd.Series) -> pd.Series:
+        return pd.Series(kernels.gap(metric, *[np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1)) for x in (lo, hi, olo, ohi)]))
+
+    return bound
+
+
+def _close(boxes: DataFrame, parts: int, width: int, others: DataFrame | None = None, metric: str = "euclidean", count: int | None = None) -> DataFrame:
     """(block, other): blocks of a cluster whose boxes are within the first one's reach.
 
-    boxes: block, cluster, lo, hi, reach; others, where given, hold the second blocks. Blocks of one partition are neighbours in space, and so are
+    boxes: block, cluster, lo, hi, reach; others, where given, hold the second blocks; count is their number, where
+    it is known: a few are compared at once, by the driver. Blocks of one partition are neighbours in space, and so are
     FAN partitions in a row, and so on: boxes of each level hold those of the next. Two boxes are only
     looked at where their parents are within reach.
     """
-    from functools import reduce
-
+    if count is not None and count * count * width <= FEW_COMPARED:
+        return _close_few(boxes, others, metric)
+    gap = _gap if metric == "euclidean" else _gap_by(metric)
     levels = 1
     while FAN**levels < parts:
         levels += 1
@@ -183,48 +212,185 @@ def _close(boxes: DataFrame, parts: int, width: int, others: DataFrame | None =
     def descend(pairs: DataFrame, level: tuple[DataFrame, DataFrame]) -> DataFrame:
         a = pairs.join(columns(level[0], "a"), (F.col("cluster") == F.col("a_cluster")) & (F.col("x") == F.col("a_up")))
         both = a.join(columns(level[1], "b"), (F.col("cluster") == F.col("b_cluster")) & (F.col("y") == F.col("b_up")))
-        return both.filter(_gap("a_lo", "a_hi", "b_lo", "b_hi") <= F.col("a_reach")).select("cluster", F.col("a_key").alias("x"), F.col("b_key").alias("y"))
+        return both.filter(gap("a_lo", "a_hi", "b_lo", "b_hi") <= F.col("a_reach")).select("cluster", F.col("a_key").alias("x"), F.col("b_key").alias("y"))
 
     top = first[-1].select("cluster", F.col("key").alias("x"), F.col("key").alias("y"))  # one box a cluster, its key 0 in both
     return reduce(descend, list(zip(first, second, strict=True))[-2::-1], top).select(F.col("x").alias("block"), F.col("y").alias("other"))
 
 
-def _pair_edges(k: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                x, y = np.asarray(r.xs).reshape(r.n, -1), np.asarray(r.ys).reshape(r.m, -1)
-                ids, nids = np.asarray(r.ids), np.asarray(r.nids)
-                d2 = squared_distances(x, y)
-                if r.block == r.other:
-                    np.fill_diagonal(d2, np.inf)
-                row, col = smallest(d2, nids, k, np.asarray(r.kth))
-                if len(row):
-                    yield pd.DataFrame({"id": ids[row], "cluster": r.cluster, "nid": nids[col], "d2": d2[row, col]})
+def _close_few(boxes: DataFrame, others: DataFrame | None, metric: str) -> DataFrame:
+    first = boxes.select("block", "cluster", "lo", "hi", "reach").toPandas()
+    second = first if others is None else others.select("block", "cluster", "lo", "hi").toPandas()
+    found = []
+    by = dict(list(second.groupby("cluster")))
+    for cluster, mine in first.groupby("cluster"):
+        if cluster not in by:
+            continue
+        lo, hi = (np.stack(by[cluster][c].to_numpy()) for c in ("lo", "hi"))
+        step = max(1, AT_ONCE // lo.size)
+        for i in range(0, len(mine), step):
+            part = mine.iloc[i : i + step]
+            low, high = (np.stack(part[c].to_numpy())[:, None, :] for c in ("lo", "hi"))
+            x, y = np.nonzero(kernels.gap(metric, low, high, lo[None], hi[None]) <= part["reach"].to_numpy()[:, None])
+            found.append(pd.DataFrame({"block": part["block"].to_numpy()[x], "other": by[cluster]["block"].to_numpy()[y]}))
+    pairs = pd.concat(found, ignore_index=True) if found else pd.DataFrame({"block": [], "other": []}, dtype="int64")
+    table = pa.Table.from_pandas(pairs, schema=pa.schema([("block", pa.int64()), ("other", pa.int64())]), preserve_index=False)
+    return boxes.sparkSession.createDataFrame(table)
+
+
+class _Home:
+    """A block's first rows, and the nearest found for them so far."""
+
+    def __init__(self, cluster: str, x: np.ndarray, ids: np.ndarray, firsts: np.ndarray, k: int, metric: str):
+        self.cluster, self.x, self.k, self.metric = cluster, x[firsts], k, metric
+        self.point = kernels.space(metric, self.x)
+        self.row, self.d2, self.ids = np.zeros(0, dtype=int), np.zeros(0), ids[:0]
+        self.kth = np.full(len(self.x), np.inf)
+        self.take(np.arange(len(self.x)), x, ids)
+
+    def take(self, at: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        if not len(at):
+            return
+        d2 = kernels.squared(self.metric, self.x[at], x)
+        row, col = smallest(d2, ids, self.k, self.kth[at])
+        if not len(row):
+            return
+        row, d2, ids = np.r_[self.row, at[row]], np.r_[self.d2, d2[row, col]], np.r_[self.ids, ids[col]]
+        self.row, self.d2, self.ids = _ranked(row, d2, ids, self.k, d2, ids)
+        ends = np.searchsorted(self.row, np.arange(len(self.x)), side="right")
+        full = ends - np.searchsorted(self.row, np.arange(len(self.x))) == self.k
+        self.kth[full] = self.d2[ends[full] - 1]
+
+    def visit(self, x: np.ndarray, ids: np.ndarray) -> None:
+        box = kernels.space(self.metric, x)
+        near = kernels.gap(self.metric, self.point, self.point, box.min(axis=0), box.max(axis=0)) <= self.kth
+        self.take(np.flatnonzero(near), x, ids)
+
+
+def _numbers(column: pa.ListArray, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False)
+
+
+def _nearest(width: int, k: int, metric: str, schema: pa.Schema):
+    """Rows of one block follow each other, its own rows (gap below 0) first, then blocks to visit; a row per distinct point comes out."""
+    def out(homes: list[_Home]) -> pa.RecordBatch:
+        x = np.vstack([h.x for h in homes])
+        counts = np.concatenate([np.bincount(h.row, minlength=len(h.x)) for h in homes])
+        offsets = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
+        cluster = pa.array(np.repeat(np.array([h.cluster for h in homes], dtype=object), [len(h.x) for h in homes]), pa.string())
+        ids = pa.array(np.concatenate([h.ids for h in homes]), schema.field("nids").type.value_type)
+        lists = [pa.ListArray.from_arrays(offsets, v) for v in (ids, pa.array(np.concatenate([h.d2 for h in homes])))]
+        return pa.RecordBatch.from_arrays([cluster, *[pa.array(x[:, i]) for i in range(width)], *lists], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, done = None, []
+        for b in batches:
+            block, gap, cluster, firsts, ids, xs = (b.column(c) for c in ("block", "gap", "cluster", "firsts", "ids", "xs"))
+            for i in range(b.num_rows):
+                x, names = _numbers(xs, i).reshape(-1, width), _numbers(ids, i)
+                if gap[i].as_py() < 0:
+                    done += [home] if home is not None else []
+                    if sum(len(h.x) for h in done) >= 4096:
+                        yield out(done)
+                        done = []
+                    home = _Home(cluster[i].as_py(), x, names, _numbers(firsts, i).astype(bool), k, metric)
+                else:
+                    home.visit(x, names)
+        done += [home] if home is not None else []
+        if done:
+            yield out(done)
     return run
 
 
-def block_edges(points: DataFrame, k: int, rows: int, block: int = BLOCK) -> DataFrame:
-    """Exact Euclidean neighbours by pruned block pairs. Ids and clusters keep their types."""
-    feats = feature_names(points)
+def _arrow_type(kind: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(kind))
+
+
+def _by_blocks(kept: DataFrame, feats: list[str], k: int, rows: int, block: int, metric: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The k nearest of each distinct point, itself among them, and the blocks that are held for them."""
+    packed_kind = PACKED.format(id=kind)
     parts = max(2, min(rows // (4 * block) + 1, 20_000))
+    dealt = _spatial_key(kept, feats, metric).repartitionByRange(parts, "cluster", "_key", *feats).sortWithinPartitions("cluster", "_key", *feats, "id")
+    packed = dealt.select("id", "cluster", "first", *feats).mapInPandas(_pack(feats, block, metric), packed_kind)
+    blocks = packed.mapInPandas(_local(k, metric), packed_kind + ", reach double").persist()
+    held = blocks.count()
+    pairs = _close(blocks.select("block", "cluster", "lo", "hi", "reach"), parts, len(feats), None, metric, held).filter("block <> other")
+    gap = _gap if metric == "euclidean" else _gap_by(metric)
+    own = blocks.filter("reach >= 0").select("block", F.lit(-1.0).alias("gap"), "cluster", "firsts", "ids", "xs")
+    boxes = pairs.join(blocks.filter("reach >= 0").select("block", "lo", "hi"), "block")
+    there = blocks.select(F.col("block").alias("other"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"), "cluster", "firsts", "ids", "xs")
+    visits = boxes.join(there, "other").select("block", gap("lo", "hi", "olo", "ohi").alias("gap"), "cluster", "firsts", "ids", "xs")
+    tasks = max(min(held, 2 * kept.sparkSession.sparkContext.defaultParallelism), min(held // 16, 20_000), 1)
+    work = own.unionByName(visits).repartition(tasks, "block").sortWithinPartitions("block", "gap")
+    schema = pa.schema([("cluster", pa.string()), *[(c, pa.float64()) for c in feats], ("nids", pa.list_(_arrow_type(kind))), ("d2s", pa.list_(pa.float64()))])
+    columns = "cluster string, " + ", ".join(f"{c} double" for c in feats) + f", nids array<{kind}>, d2s array<double>"
+    return work.mapInArrow(_nearest(len(feats), k, metric, schema), columns), blocks
+
+
+def _by_agreement(kept: DataFrame, feats: list[str], k: int) -> DataFrame:
+    """The k nearest of each distinct point by Hamming distance, itself among them.
+
+    Who differs in given features agrees in the others: of those that agree in a set of features, the k smallest
+    ids, for every set, hold the nearest.
+    """
+    lists = []
+    out = kept.filter("first").select("cluster", *feats)
+    for n in range(len(feats) + 1):
+        for some in combinations(feats, n):
+            keys = ["cluster", *some]
+            w = Window.partitionBy(*keys).orderBy("id")
+            least = kept.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+            lists.append(f"_l{len(lists)}")
+            out = out.join(least.groupBy(*keys).agg(F.collect_list(F.struct("id", F.array(*feats).alias("x"))).alias(lists[-1])), keys)
+    own = F.array(*feats)
+
+    def entry(e):
+        d = F.aggregate(F.zip_with(e["x"], own, lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v) / float(len(feats))
+        return F.struct((d * d).alias("d2"), e["id"].alias("nid"))
+
+    near = F.slice(F.array_sort(F.array_distinct(F.transform(F.concat(*lists), entry))), 1, k)
+    return out.select("cluster", *feats, near.alias("_n")).select("cluster", *feats, F.col("_n.nid").alias("nids"), F.col("_n.d2").alias("d2s"))
+
+
+def block_edges(points: DataFrame, k: int, rows: int, block: int | None = None, metric: str = "euclidean") -> DataFrame:
+    """Exact neighbours by pruned block pairs. Ids and clusters keep their types; a row with a value that is not finite has none."""
+    METRICS[metric]
+    feats = feature_names(points)
+    block = block or (SMALL_BLOCK if len(feats) <= FEW_FEATURES else BLOCK)
     kinds = dict(points.dtypes)
     inner = "long" if kinds["id"] in ("tinyint", "smallint", "int", "bigint") else kinds["id"]
-    packed_kind, edge_kind = PACKED.format(id=inner), EDGES.format(id=inner)
-    keyed = _spatial_key(points.withColumn("cluster", F.col("cluster").cast("string")), feats)
-    dealt = keyed.repartitionByRange(parts, "cluster", "_key", "id").sortWithinPartitions("cluster", "_key", "id")
-    packed = dealt.select(F.col("id").cast(inner).alias("id"), "cluster", *feats).mapInPandas(_pack(feats, block), packed_kind)
-    blocks = packed.mapInPandas(_local(k), packed_kind + ", kth array<double>, reach double").persist()
-    pairs = _close(blocks.select("block", "cluster", "lo", "hi", "reach"), parts, len(feats))
-    right = blocks.select(F.col("block").alias("other"), F.col("n").alias("m"), F.col("ids").alias("nids"), F.col("xs").alias("ys"))
-    work = pairs.join(blocks.select("block", "cluster", "n", "ids", "xs", "kth"), "block").join(right, "other")
-    best = top_k(work.mapInPandas(_pair_edges(k), edge_kind), k)
-    return best.withColumns({"cluster": F.col("cluster").cast(kinds["cluster"]), "id": F.col("id").cast(kinds["id"]), "nid": F.col("nid").cast(kinds["id"])})
+    finite = reduce(lambda a, b: a & b, [F.abs(c) < float("inf") for c in feats])
+    flat = points.select(F.col("id").cast(inner).alias("id"), F.col("cluster").cast("string").alias("cluster"), *[(F.col(c) + 0.0).alias(c) for c in feats])
+    flat = flat.filter(finite & F.col("cluster").isNotNull())
+    same = ["cluster", *feats] if len(feats) <= WIDE_FEATURES else ["cluster", F.array(*feats)]
+    w = Window.partitionBy(*same).orderBy("id")
+    kept = flat.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k + 1).withColumn("first", F.col("_n") == 1).drop("_n").persist()
+    distinct = kept.count()
+    if metric == "hamming" and len(feats) <= HAMMING_FEATURES:
+        lists, held = _by_agreement(kept, feats, k + 1), [kept]
+    else:
+        lists, blocks = _by_blocks(kept, feats, k + 1, distinct, block, metric, inner)
+        kept.unpersist()
+        held = [blocks]
+    if len(feats) <= WIDE_FEATURES:
+        both = flat.join(lists, ["cluster", *feats])
+    else:
+        x = F.array(*feats)
+        both = flat.select("id", "cluster", x.alias("_x")).join(lists.select("cluster", x.alias("_x"), "nids", "d2s"), ["cluster", "_x"])
+    others = F.slice(F.filter(F.arrays_zip("nids", "d2s"), lambda e: e["nids"] != F.col("id")), 1, k)
+    best = both.select("id", "cluster", F.posexplode(others).alias("_r", "_e"))
+    out = best.select(
+        F.col("id").cast(kinds["id"]).alias("id"), F.col("cluster").cast(kinds["cluster"]).alias("cluster"), F.col("_e.nids").cast(kinds["id"]).alias("nid"),
+        F.col("_e.d2s").alias("d2"), (F.col("_r") + 1).alias("rank"))
+    out._kept = held
+    return out
 
 
 def knn_edges(points: DataFrame, k: int, pairs: int, rows: int, strategy: str = "auto", metric: str = "euclidean") -> DataFrame:
-    """Picks a strategy; metrics other than Euclidean need ``sql``, as boxes bound Euclidean gaps only."""
+    """Picks a strategy: blocks for many pairs or many features."""
     if strategy == "auto":
-        wide = len(feature_names(points)) > WIDE_FEATURES
-        strategy = "block" if metric == "euclidean" and (pairs > SQL_PAIRS or wide) else "sql"
-    return block_edges(points, k, rows) if strategy == "block" else sql_edges(points, k, metric)
+        strategy = "block" if pairs > SQL_PAIRS or len(feature_names(points)) > WIDE_FEATURES else "sql"
+    return block_edges(points, k, rows, metric=metric) if strategy == "block" else sql_edges(points, k, metric)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from farpoint.errors import ValidationError
 from farpoint.functions.erf import erf_column
 from farpoint.operators import knn
-from farpoint.operators.knn import squared_distances
+from farpoint.functions.kernels import squared_distances
 from farpoint.operators.scoring import probability
 
 #: A training matrix up to this size is broadcast; a larger one is joined block by block.

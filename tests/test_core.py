@@ -362,3 +362,38 @@ def test_params_ids_and_arrays(spark):
         LoOP(edges=True, n_neighbors=1).fit(edges)
     with_self = spark.createDataFrame([(0, 1, 0, 0.0), (0, 2, 1, 1.0), (1, 1, 0, 1.0), (1, 2, 2, 3.0)], "id long, rank int, nid long, dist double")
     assert sorted(map(tuple, recipes.without_self(with_self, 1).select("id", "rank", "nid").collect())) == [(0, 1, 1), (1, 1, 0)]
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "chebyshev", "canberra", "braycurtis", "hamming", "cosine"])
+def test_blocks_of_other_metrics_equal_sql(spark, metric):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.integers(-4, 5, (150, 2)), np.zeros((30, 2)), rng.normal(size=(120, 2))])
+    df, names = frame(spark, x, [int(v) for v in rng.integers(0, 2, len(x))])
+    points = to_points(df, "id", names, "label")
+    edge = lambda e: sorted((r["id"], r["rank"], r["nid"], r["d2"]) for r in e.collect())
+    assert edge(knn.block_edges(points, 5, len(x), block=32, metric=metric)) == edge(knn.sql_edges(points, 5, metric))
+
+
+def test_metrics_past_the_switch_build_no_pairs(spark):
+    points = to_points(spark.range(4000).select("id", F.rand(1).alias("x"), F.rand(2).alias("y")), "id", ["x", "y"])
+    for metric in ("manhattan", "hamming"):
+        best = knn.knn_edges(points, 3, 4000 * 4000, 4000, metric=metric)
+        plan = best._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan or "_l0" in plan
+        assert best.count() == 12_000
+
+
+@pytest.mark.parametrize("some", [0, 7])
+def test_equal_points_are_searched_once(spark, some):
+    """A constant feature, or mostly one, makes no pairs of blocks."""
+    x = F.when(F.col("id") % some == 0, F.col("id") * 1.0).otherwise(0.0) if some else F.lit(1.0)
+    points = to_points(spark.range(3000).select("id", x.alias("x")), "id", ["x"])
+    seen = []
+    close = knn._close
+    knn._close, kept = (lambda *a: seen.append(close(*a)) or seen[-1]), close
+    try:
+        got = {r["id"]: r["nid"] for r in knn.block_edges(points, 3, 3000, block=16).filter("rank = 1").collect()}
+    finally:
+        knn._close = kept
+    assert len(got) == 3000 and seen[0].count() <= 100
+    assert [got[0], got[1], got[2]] == [1, 0, 0]

@@ -110,7 +110,8 @@ class LoOPModel(Model):
 
     def matrix(self) -> np.ndarray:
         """The training points, for broadcast; the caller checks their size first."""
-        return np.array([tuple(r) for r in self.points.select(feature_names(self.points)).toLocalIterator()], dtype=float)
+        t = self.points.select(feature_names(self.points)).toArrow()
+        return np.column_stack([c.to_numpy() for c in t.columns]).astype(float, copy=False)
 
     def release(self) -> None:
         """Frees what fitting keeps in storage."""

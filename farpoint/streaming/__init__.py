@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from farpoint.errors import ValidationError
 from farpoint.functions.erf import erf_column
+from farpoint.functions.kernels import HAIR, squared_distances
 from farpoint.operators import knn
-from farpoint.functions.kernels import squared_distances
 from farpoint.operators.scoring import probability
 
 #: A training matrix up to this size is broadcast; a larger one is joined block by block.
@@ -37,6 +37,96 @@ def capped(d2: np.ndarray) -> np.ndarray:
     return np.where(d2 < FAR * FAR, d2, FAR * FAR)
 
 
+class Near:
+    """Sums of squared distances to the k nearest of a matrix's rows, exactly.
+
+    Of equal rows k are enough. One feature: sorted values, of which the k on either side of a query are looked at.
+    More: a balanced tree of boxes; the leaf a query falls into bounds its k-th distance, and then each box is
+    visited once, by the queries whose bound it is within.
+    """
+
+    LEAF = 64
+
+    def __init__(self, matrix: np.ndarray, k: int):
+        self.k, self.width = k, matrix.shape[1]
+        x = matrix[np.isfinite(matrix).all(axis=1)] + 0.0  # what is not finite is far from every row, as is what lacks
+        x = x[np.lexsort(x.T[::-1])]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]).any(axis=1)
+        starts = np.flatnonzero(new)
+        self.x = x[np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)])) < k]
+        if self.width > 1:
+            self._grow()
+
+    def _grow(self) -> None:
+        n, depth = len(self.x), 0
+        while n >> (depth + 1) >= max(self.LEAF, 2 * self.k):
+            depth += 1
+        order, bounds = np.arange(n), [(0, n)]
+        self.first_leaf = 2**depth - 1
+        self.lo, self.hi = (np.full((2 ** (depth + 1) - 1, self.width), v) for v in (np.inf, -np.inf))
+        self.dim, self.cut = np.zeros(self.first_leaf, dtype=int), np.zeros(self.first_leaf)
+        for node in range(len(self.lo)):
+            s, e = bounds[node]
+            part = self.x[order[s:e]]
+            if e > s:
+                self.lo[node], self.hi[node] = part.min(axis=0), part.max(axis=0)
+            if node < self.first_leaf:
+                half, self.dim[node] = (e - s) // 2, int(np.argmax(self.hi[node] - self.lo[node]))
+                at = part[:, self.dim[node]]
+                by = np.argpartition(at, half) if half else np.arange(e - s)
+                order[s:e] = order[s:e][by]
+                self.cut[node] = at[by[half]] if e > s else 0.0
+                bounds += [(s, s + half), (s + half, e)]
+        self.x, self.bounds = self.x[order], bounds
+
+    def sums(self, queries: np.ndarray) -> np.ndarray:
+        """A query's sum; distances of FAR and more, and those that lack, count as FAR."""
+        out = np.full(len(queries), self.k * FAR * FAR)
+        fine = np.flatnonzero(np.isfinite(queries).all(axis=1))
+        step = 4096  # bounds what is held at once
+        for i in range(0, len(fine) if len(self.x) else 0, step):
+            at = fine[i : i + step]
+            out[at] = (self._line if self.width == 1 else self._tree)(queries[at])
+        return out
+
+    def _line(self, q: np.ndarray) -> np.ndarray:
+        values, n = self.x[:, 0], len(self.x)
+        start = np.clip(np.searchsorted(values, q[:, 0]) - self.k, 0, max(n - 2 * self.k, 0))
+        at = start[:, None] + np.arange(min(2 * self.k, n))[None, :]
+        diff = q - values[at]
+        return kth_sum(diff * diff, self.k)
+
+    def _tree(self, q: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(q), dtype=int)
+        while self.first_leaf and node[0] < self.first_leaf:
+            node = 2 * node + 1 + (q[np.arange(len(q)), self.dim[node]] > self.cut[node])
+        best = np.full((len(q), self.k), FAR * FAR)
+
+        def look(leaf: int, who: np.ndarray) -> None:
+            s, e = self.bounds[leaf]
+            both = np.hstack([best[who], capped(squared_distances(q[who], self.x[s:e]))])
+            best[who] = np.partition(both, self.k - 1, axis=1)[:, : self.k]
+
+        order = np.argsort(node, kind="stable")
+        for who in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+            look(node[who[0]], who)
+        ways = [(0, np.arange(len(q)))]
+        while ways:
+            at, who = ways.pop()
+            if at >= self.first_leaf:
+                who = who[node[who] != at]
+            apart = np.maximum(np.maximum(self.lo[at] - q[who], q[who] - self.hi[at]), 0.0)
+            who = who[(apart * apart).sum(axis=1) * HAIR <= best[who].max(axis=1)]
+            if not len(who):
+                continue
+            if at >= self.first_leaf:
+                look(at, who)
+            else:
+                ways += [(2 * at + 1, who), (2 * at + 2, who)]
+        return best.sum(axis=1)
+
+
 def kth_sum(d2: np.ndarray, k: int) -> np.ndarray:
     """Sum of each row's k smallest entries, short rows filled up with FAR squared."""
     d2 = capped(d2)
@@ -49,15 +139,12 @@ def score_by_broadcast(df: DataFrame, features: list[str], matrix: np.ndarray, k
     """Batch or streaming DataFrame with ``score``; the matrix must be within BROADCAST_BYTES."""
     if matrix.nbytes > BROADCAST_BYTES:
         raise ValidationError(f"{matrix.nbytes} bytes of training points are over the broadcast bound; score a batch instead")
-    shared = df.sparkSession.sparkContext.broadcast(matrix)
+    shared = df.sparkSession.sparkContext.broadcast(Near(matrix, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # the columns given pass as they are
             x = np.column_stack([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in features])
-            step = max(1, 4_000_000 // max(1, len(shared.value)))
-            ssd = [kth_sum(squared_distances(x[i : i + step], shared.value), k) for i in range(0, len(x), step)]
-            far = pa.array(np.concatenate(ssd) if ssd else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*b.columns, far], names=[*b.schema.names, SSD])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.sums(x))], names=[*b.schema.names, SSD])
 
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return finish(df.mapInArrow(run, f"{cols}, {SSD} double"), k, extent, mean_ev, max_nplof)
@@ -109,14 +196,16 @@ def score_by_blocks(df: DataFrame, features: list[str], points: DataFrame, feats
     names = [f"f{i}" for i in range(len(feats))]
     spread = [F.col("_fp_x")[i].alias(c) for i, c in enumerate(names)]
     new = df.select(values(features).alias("_fp_x")).filter(finite).distinct().select(F.lit(1.0).alias("is_new"), F.lit(0).cast("long").alias("_h"), *spread)
-    old = points.select(values(feats).alias("_fp_x"), F.xxhash64("id").alias("_h")).filter(finite).select(F.lit(0.0).alias("is_new"), "_h", *spread)
-    parts = max(2, min(points.count() // (4 * block) + 1, 20_000))
+    old = points.select(values(feats).alias("_fp_x"), F.xxhash64("id").alias("_h")).filter(finite)
+    of_equal = F.row_number().over(Window.partitionBy("_fp_x").orderBy("_h"))  # k of equal points are enough
+    old = old.withColumn("_n", of_equal).filter(F.col("_n") <= k).select(F.lit(0.0).alias("is_new"), "_h", *spread).persist()
+    parts = max(2, min(old.count() // (4 * block) + 1, 20_000))
     keyed = knn._spatial_key(new.unionByName(old), names)
     dealt = keyed.repartitionByRange(parts, "_key", "_h").sortWithinPartitions("_key", "_h")
     both = dealt.select("is_new", *names).mapInPandas(_pack_two(len(names), k, block), TWO).persist()
     asking = both.filter("nq > 0").select("block", "cluster", F.col("qlo").alias("lo"), F.col("qhi").alias("hi"), "reach")
     asked = both.filter("np > 0").select("block", "cluster", F.col("plo").alias("lo"), F.col("phi").alias("hi"), F.lit(0.0).alias("reach"))
-    pairs = knn._close(asking, parts, len(names), asked)
+    pairs = knn._close(asking, parts, len(names), asked, "euclidean", both.count())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -397,3 +397,21 @@ def test_equal_points_are_searched_once(spark, some):
         knn._close = kept
     assert len(got) == 3000 and seen[0].count() <= 100
     assert [got[0], got[1], got[2]] == [1, 0, 0]
+
+
+@pytest.mark.parametrize("width", [1, 2, 20])
+def test_index_of_training_points_equals_all_distances(width):
+    from farpoint.streaming import Near, kth_sum
+
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=(2000, width)), 1)
+    x[:700] = 0.0
+    x[705], x[707] = np.nan, 1e13
+    q = np.vstack([rng.normal(size=(200, width)) * 2, x[:20]])
+    q[3], q[4] = np.inf, 1e12
+    for k in (1, 10):
+        with np.errstate(all="ignore"):
+            want = kth_sum(knn.kernels.squared_distances(q, x), k)
+        assert np.allclose(Near(x, k).sums(q), want, rtol=1e-12)
+        assert np.allclose(Near(x[:3], 10).sums(q), kth_sum(np.nan_to_num(knn.kernels.squared_distances(q, x[:3]), nan=np.inf), 10), rtol=1e-12)
+    assert len(Near(np.ones((5000, width)), 10).x) == 10

@@ -71,7 +71,7 @@ class LoOP(Estimator):
     def _fit_edges(self, df: DataFrame) -> "LoOPModel":
         cluster = F.col(self.cluster_col) if self.cluster_col else F.lit(0)
         dist = F.coalesce(F.col("dist").cast("double"), scoring.nan())
-        edges = df.select(F.col(self.id_col).alias("id"), cluster.alias("cluster"), "nid", dist.alias("dist"), (dist * dist).alias("d2"))
+        edges = df.select(F.col(self.id_col).alias("id"), cluster.alias("cluster"), "nid", dist.alias("dist"), (dist * dist).alias("d2")).persist()
         per = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("cluster"), F.max("cluster").alias("last"))
         shape = per.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.count_distinct("cluster"), F.count_if(F.col("cluster") != F.col("last"))).first()
         rows = shape[0]

@@ -100,8 +100,7 @@ def loop_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 def matrix_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges as a caller would bring them: neighbours over all customers, clusters by segment."""
     p = customers(spark, d)
-    all_in_one = p.withColumn("cluster", F.lit(0))
-    e = knn.knn_edges(all_in_one, 10, 0, 0, "sql")
+    e = edges(p.withColumn("cluster", F.lit(0)), 10)
     return e.drop("cluster").join(p.select("id", "cluster"), "id").withColumn("dist", F.sqrt("d2"))
 
 

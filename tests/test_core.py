@@ -415,3 +415,11 @@ def test_index_of_training_points_equals_all_distances(width):
         assert np.allclose(Near(x, k).sums(q), want, rtol=1e-12)
         assert np.allclose(Near(x[:3], 10).sums(q), kth_sum(np.nan_to_num(knn.kernels.squared_distances(q, x[:3]), nan=np.inf), 10), rtol=1e-12)
     assert len(Near(np.ones((5000, width)), 10).x) == 10
+
+
+def test_edges_brought_over_all_customers_are_no_pairs(spark):
+    from importlib import import_module
+
+    plans = import_module("farpoint.plans.queries")
+    plan = plans.matrix_edges(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +29,59 @@ def attach(df: DataFrame, scored: DataFrame, id_col: str) -> DataFrame:
     return df.join(scored.select(F.col("id").alias(id_col), "score"), id_col, "left")
 
 
-def zscores(df: DataFrame, columns: list[str], by: str, groups: int | None = None) -> DataFrame:
+def _moments_in_order(df: DataFrame, columns: list[str], by: str, order: str) -> DataFrame:
+    """(_by, _m0, _d0, ..): mean by a running sum and deviation by Welford's recurrence, one row after another.
+
+    Sums of doubles depend on their order, and values that tie but for it are told apart by it. A task passes
+    through the rows of its clusters and holds none of them.
+    """
+    def close(value, n: int, sums: list, squares: list) -> tuple:
+        return value, *[v for s, q in zip(sums, squares, strict=True) for v in (s / n, math.sqrt(max(q, 0.0) / n))]
+
+    def run(frames):
+        now, n, sums, means, squares = None, 0, [], [], []
+        names = ["_by", *[f"_{x}{i}" for i in range(len(columns)) for x in "md"]]
+        for f in frames:
+            out = []
+            for value, g in f.groupby("_by", sort=False):
+                if n and value != now:
+                    out.append(close(now, n, sums, squares))
+                    n = 0
+                if not n:
+                    now, sums, means, squares = value, [0.0] * len(columns), [0.0] * len(columns), [0.0] * len(columns)
+                for i in range(len(columns)):
+                    s, m, q, at = sums[i], means[i], squares[i], n
+                    for x in g[f"_x{i}"].tolist():
+                        at += 1
+                        s += x
+                        d = x - m
+                        m += d / at
+                        q += d * (x - m)
+                    sums[i], means[i], squares[i] = s, m, q
+                n += len(g)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if n:
+            yield pd.DataFrame([close(now, n, sums, squares)], columns=names)
+
+    rows = df.filter(F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.col(order).alias("_o"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    dealt = rows.repartition("_by").sortWithinPartitions("_by", "_o").drop("_o")
+    kinds = ", ".join(f"_m{i} double, _d{i} double" for i in range(len(columns)))
+    return dealt.mapInPandas(run, f"_by {dict(rows.dtypes)['_by']}, {kinds}")
+
+
+def zscores(df: DataFrame, columns: list[str], by: str, groups: int | None = None, order: str | None = None) -> DataFrame:
     """df with (x - mean) / population deviation within a cluster in place of each column; 0 where all are equal.
 
     Two moments per cluster are joined back; no task holds a cluster. ``groups``, where known, decides
-    whether they are broadcast.
+    whether they are broadcast. With ``order``, a column, moments are rounded as a pass in that order rounds them, for
+    clusters and columns without missing values; a cluster is then passed through by one task.
     """
-    moments = [f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("d", F.stddev_pop))]
-    per = df.groupBy(F.col(by).alias("_by")).agg(*moments)
+    if order is None:
+        moments = [f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("d", F.stddev_pop))]
+        per = df.groupBy(F.col(by).alias("_by")).agg(*moments)
+    else:
+        per = _moments_in_order(df, columns, by, order)
     out = df.join(F.broadcast(per) if groups is not None and groups <= FEW else per, F.col(by).eqNullSafe(F.col("_by")))
     score = lambda i, c: F.when(F.col(f"_d{i}") == 0, 0.0).otherwise((F.col(c) - F.col(f"_m{i}")) / F.when(F.col(f"_d{i}") == 0, 1.0).otherwise(F.col(f"_d{i}")))
     return out.withColumns({c: score(i, c) for i, c in enumerate(columns)}).select(df.columns)

@@ -33,8 +33,8 @@ def suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
     t = read_table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").cast("double").alias("p"))
-    z = recipes.zscores(t, ["s", "p"], "p_brand")
-    return to_points(z, "p_partkey", ["s", "p"], "p_brand")
+    z = recipes.zscores(t, ["s", "p"], "p_brand", order="p_partkey")
+    return to_points(z, "p_partkey", ["s", "p"], "p_brand", order="p_partkey")
 
 
 def raw_parts(spark: SparkSession, d: str) -> DataFrame:

@@ -423,3 +423,18 @@ def test_edges_brought_over_all_customers_are_no_pairs(spark):
     plans = import_module("farpoint.plans.queries")
     plan = plans.matrix_edges(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_moments_in_row_order_round_as_one_pass_does(spark):
+    r = random.Random(3)
+    rows = [(i, "ab"[i % 3 == 0], r.random() * 1e3 + 0.1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, c string, x double")
+    got = {t["id"]: t["x"] for t in recipes.zscores(df.repartition(7), ["x"], "c", order="id").collect()}
+    for c in "ab":
+        mine, n, s, m, q = [(i, x) for i, k, x in rows if k == c], 0, 0.0, 0.0, 0.0
+        for _, x in mine:
+            n, s = n + 1, s + x
+            d = x - m
+            m += d / n
+            q += d * (x - m)
+        assert all(got[i] == (x - s / n) / math.sqrt(q / n) for i, x in mine)

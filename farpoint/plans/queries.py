@@ -34,7 +34,7 @@ def suppliers(spark: SparkSession, d: str) -> DataFrame:
 def parts(spark: SparkSession, d: str) -> DataFrame:
     t = read_table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").cast("double").alias("p"))
     z = recipes.zscores(t, ["s", "p"], "p_brand", order="p_partkey")
-    return to_points(z, "p_partkey", ["s", "p"], "p_brand", order="p_partkey")
+    return to_points(z, "p_partkey", ["s", "p"], "p_brand")
 
 
 def raw_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +62,9 @@ def _edges_out(e: DataFrame) -> DataFrame:
 
 
 def _scores(points: DataFrame, k: int = 10, extent: int = 3, metric: str = "euclidean") -> DataFrame:
-    k = min(k, profile(points).rows - 1)
-    return scoring.score_edges(edges(points, k, metric), k, extent)
+    p = profile(points)
+    k = min(k, p.rows - 1)
+    return scoring.score_edges(knn.knn_edges(points, k, p.pairs, p.rows, metric=metric), k, extent, p.clusters)
 
 
 def _stage(columns: list[str]) -> Query:
